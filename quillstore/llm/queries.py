@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstore.llm.bpe import encode_corpus
+from quillstore.llm.leakage import leaked_documents, leaked_items
 from quillstore.llm.near_duplicates import expand_pairs, near_duplicates
 from quillstore.sources.tables import read_table
 
+#: Where the public vocabulary lies; a parameter of p6_ids.
+VOCABULARY = os.environ.get("QUILLSTORE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
 def p2_found(spark: SparkSession, base: str) -> DataFrame:
     members, pairs = near_duplicates(read_table(spark, base, "chunks"), "id", "body", words=3, threshold=0.6, least=10)
     return expand_pairs(members, pairs).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
+def p6_ids(spark: SparkSession, base: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return encode_corpus(read_table(spark, base, "documents"), "doc_id", "text", vocabulary)
+
+
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    return leaked_items(read_table(spark, base, "documents"), read_table(spark, base, "eval_items")).select("item_id", "doc_id").distinct()
+
+
+def p7_documents(spark: SparkSession, base: str) -> DataFrame:
+    found = leaked_documents(leaked_items(read_table(spark, base, "documents"), read_table(spark, base, "eval_items")))
+    return found.select("doc_id", F.array_join(found["items"].cast("array<string>"), ",").alias("items"), "n_items")
+
+
 P2_SQL = """
 WITH w AS (SELECT id, regexp_extract_all(lower(any_value(body)), '[a-z0-9]+') AS w FROM chunks WHERE id IS NOT NULL GROUP BY id),
 s AS (SELECT id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM w WHERE len(w) >= 3),
@@ -22,5 +42,19 @@ p AS (SELECT a.id AS chunk_a, b.id AS chunk_b, a.n + b.n AS n, count(*) AS o FRO
 SELECT chunk_a, chunk_b FROM p WHERE o / (n - o) >= 0.6
 """
 
-QUERIES = {"p2_found": p2_found}
-SQL = {"p2_found": P2_SQL}
+P7_SQL = """
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
+ip AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, array_to_string(w[i : i + least(12, len(w)) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+dp AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, (SELECT DISTINCT n FROM ip) WHERE len(w) >= n))
+SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (n, g)
+"""
+
+QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents}
+SQL = {
+    "p2_found": P2_SQL,
+    "p7_found": P7_SQL,
+    "p7_documents": f"SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, count(*) AS n_items FROM ({P7_SQL}) GROUP BY doc_id",
+}

@@ -6,9 +6,13 @@ byte array; words, their hashes and the hashes of k successive words are then fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-_WORD_BYTES = np.zeros(256, np.uint64)
+#: Bytes that are hashed at once; bounds the memory of a task.
+PIECE = 1 << 20
+_WORD_BYTES = np.zeros(256, np.uint8)
 for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789"):
     _WORD_BYTES[_c] = _i + 1
 
@@ -25,24 +29,38 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
+def _pieces(codes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of about PIECE bytes that end outside words."""
+    begin = 0
+    while begin < len(codes):
+        end = min(begin + PIECE, len(codes))
+        while end < len(codes):
+            gap = np.flatnonzero(codes[end : end + PIECE] == 0)
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(end + PIECE, len(codes))
+        yield begin, end
+        begin = end
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every word, in order. A null text has no words."""
     lowered = [(t or "").lower() for t in texts]
     ends = np.cumsum([len(t) + 1 for t in lowered], dtype=np.int64)
     codes = _WORD_BYTES[np.frombuffer(("\n".join(lowered) + "\n").encode("ascii", "replace"), np.uint8)]
-    inside = codes > 0
-    if not inside.any():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    starts = np.flatnonzero(first)
-    at = np.flatnonzero(inside)
-    begin = np.searchsorted(at, starts)
-    lengths = np.diff(np.append(begin, len(at)))
-    place = np.arange(len(at)) - np.repeat(begin, lengths)
-    values = codes[at] * _odd(int(lengths.max()), 7)[place]
-    hashes = mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return hashes, np.searchsorted(ends, starts, side="right")
+    hashes, begins = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for left, right in _pieces(codes):
+        at = np.flatnonzero(codes[left:right])
+        if not len(at):
+            continue
+        begin = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+        lengths = np.diff(np.append(begin, len(at)))
+        place = np.arange(len(at)) - np.repeat(begin, lengths)
+        values = codes[left:right][at] * _odd(int(lengths.max()), 7)[place]
+        hashes.append(mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        begins.append(at[begin] + left)
+    return np.concatenate(hashes), np.searchsorted(ends, np.concatenate(begins), side="right")
 
 
 def shingle_sets(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
