@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstore.llm.bpe import encode_corpus
 from quillstore.llm.leakage import leaked_documents, leaked_items
 from quillstore.llm.near_duplicates import expand_pairs, near_duplicates
+from quillstore.llm.splitting import split_oversized
 from quillstore.sources.tables import read_table
 
 #: Where the public vocabulary lies; a parameter of p6_ids.
@@ -21,6 +22,18 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return expand_pairs(members, pairs).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
+def p4_pieces(spark: SparkSession, base: str) -> DataFrame:
+    def of(table: str, text: str, limit: int) -> DataFrame:
+        return split_oversized(read_table(spark, base, table), "id", text, limit, 200).withColumn("src_table", F.lit(table)).withColumn("limit", F.lit(limit))
+
+    return of("pages", "compiled_truth", 5000).unionByName(of("chunks", "body", 2000))
+
+
+def p4_found(spark: SparkSession, base: str) -> DataFrame:
+    items = p4_pieces(spark, base).where("item_id is not null").groupBy("src_table", "item_id", "limit").agg(F.max("longest_run").alias("run"))
+    return items.select("src_table", "item_id", F.when(F.col("run") > F.col("limit"), "forced").otherwise("natural").alias("cut"))
+
+
 def p6_ids(spark: SparkSession, base: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return encode_corpus(read_table(spark, base, "documents"), "doc_id", "text", vocabulary)
 
@@ -42,6 +55,12 @@ p AS (SELECT a.id AS chunk_a, b.id AS chunk_b, a.n + b.n AS n, count(*) AS o FRO
 SELECT chunk_a, chunk_b FROM p WHERE o / (n - o) >= 0.6
 """
 
+P4_SQL = r"""
+WITH t AS (SELECT DISTINCT 'pages' AS src_table, id AS item_id, compiled_truth AS x, 5000 AS n FROM pages UNION SELECT 'chunks', id, body, 2000 FROM chunks)
+SELECT DISTINCT src_table, item_id, CASE WHEN list_max(list_transform(regexp_split_to_array(x, '[ \t\r\n]+'), lambda y: length(y))) > n THEN 'forced' ELSE 'natural' END AS cut
+FROM t WHERE length(x) > n AND item_id IS NOT NULL
+"""
+
 P7_SQL = """
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
 ip AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, array_to_string(w[i : i + least(12, len(w)) - 1], ' ') AS g
@@ -52,9 +71,10 @@ dp AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (n, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents}
 SQL = {
     "p2_found": P2_SQL,
+    "p4_found": P4_SQL,
     "p7_found": P7_SQL,
     "p7_documents": f"SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, count(*) AS n_items FROM ({P7_SQL}) GROUP BY doc_id",
 }
