@@ -1,17 +1,17 @@
 """Near-duplicate texts by T-occurrence search with the DivideSkip split of inverted lists.
 
 Two sets of n_a and n_b shingles with a Jaccard similarity of at least t share T = ceil(t / (1 + t) * (n_a + n_b))
-of them, and a set of n shingles can only match where it shares ceil(t * n). DivideSkip sets each set's longest
-inverted lists apart: a set keeps its n - ceil(t * n) + SLACK rarest shingles as short lists, the rest are long. A pair that
-shares T shingles then meets in at least T - ceil(t * max(n_a, n_b)) + SLACK short lists of both.
+of them. DivideSkip sets each set's longest inverted lists apart: with all shingles in one order of rarity, a set
+searches in its n - T + SLACK rarest ones (the short lists), and a pair that shares T shingles meets in at least SLACK
+of these. As T depends on the partner, n - ceil(t * n) + SLACK shingles, enough for every partner, become postings.
 
-* The short lists are merged by Spark: postings are shuffled and sorted by shingle, the lists joined with themselves
-  and the meetings of a pair counted. Lists with one entry are dropped before.
-* The pairs that meet often enough are looked up in the long lists: each shingle of the one set is binary-probed in
-  the sorted array of the other, which gives the exact similarity.
+* The short lists are merged by Spark: postings are shuffled and sorted by shingle, the lists joined with themselves,
+  and the meetings of each pair counted.
+* The pairs that meet SLACK times are looked up in the long lists: each shingle of the one set is binary-probed in the
+  sorted array of the other, which gives the exact similarity.
 
-How the shingles are ordered by rarity only decides the speed; every order gives the same pairs. So the frequent
-shingles come from counts of all texts, of which the largest TABLE are kept, and all others count as equally rare.
+The order only decides the speed; every order gives the same pairs. It comes from counts of all shingles of all texts
+in a table of BUCKETS counters, into which the shingles are hashed.
 """
 
 from __future__ import annotations
@@ -26,82 +26,100 @@ from pyspark.sql import functions as F
 from quillstore.llm.shingles import set_hashes, shingle_sets
 from quillstore.sources.tables import materialize
 
-#: Frequent shingles of which the count is sent to every task: 16 bytes each.
-TABLE = 1 << 17
-SLACK = 2
-
-
-def _list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
+#: Counters of one byte each, sent to every task; and how many of them travel as one row.
+BUCKETS, BLOCK = 1 << 22, 1 << 12
+#: Meetings in short lists that are asked for; more need longer short lists, but leave fewer pairs to chance.
+SLACK = 3
+#: 64-bit words of the bitmap that keeps most texts without a candidate from being shuffled.
+BITMAP_WORDS = 1 << 19
 
 
 def _required(sizes: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * sizes - 1e-9).astype(np.int64)
 
 
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
 def _scan(k: int, least: int):
-    """Rows (id, fp, n) of the texts, and rows (null, shingle, count) of the shingles that a batch holds more than once."""
+    """Rows (id, fp, n, null) of the texts, and rows (null, block, null, counters) of the shingles in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             hashes, offsets = shingle_sets(batch.column(1).to_pylist(), k)
             sizes = np.diff(offsets)
             keep = np.flatnonzero(sizes >= least)
-            seen, counts = np.unique(hashes, return_counts=True)
-            seen, counts = seen[counts > 1], counts[counts > 1]
-            ids = pa.concat_arrays([batch.column(0).take(pa.array(keep)).cast(pa.string()), pa.nulls(len(seen), pa.string())])
-            values = np.concatenate([set_hashes(hashes, offsets)[keep], seen]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(values), pa.array(np.concatenate([sizes[keep], counts]).astype(np.int64))], ["id", "fp", "n"])
+            counters += np.bincount(_bucket(hashes), minlength=BUCKETS)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep)), pa.array(set_hashes(hashes, offsets)[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32)), pa.nulls(len(keep), pa.binary())],
+                ["id", "fp", "n", "counters"],
+            )
+        blocks = np.minimum(counters, 255).astype(np.uint8).reshape(-1, BLOCK)
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.string()), pa.array(used), pa.nulls(len(used), pa.int32()), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["id", "fp", "n", "counters"])
 
     return run
 
 
-def _short_lists(k: int, least: int, threshold: float, frequent):
-    """Rows (shingle, fp, n) of the rarest shingles of each set, as many as DivideSkip leaves to the short lists."""
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of each block, added up to 255 at most."""
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counters in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            more = np.frombuffer(counters, np.uint8)
+            blocks[block] = np.minimum(blocks[block].astype(np.uint16) + more, 255).astype(np.uint8) if block in blocks else more
+    yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], ["fp", "counters"])
+
+
+def _short_lists(k: int, least: int, threshold: float, counts):
+    """Rows (shingle, fp, place) of the rarest shingles of each set; place holds the set's size and the shingle's rank in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = frequent.value
+        counters = counts.value
         for batch in batches:
             hashes, offsets = shingle_sets(batch.column(0).to_pylist(), k)
             sizes = np.diff(offsets)
             fps = set_hashes(hashes, offsets)
             wanted = np.where(sizes >= least, np.minimum(sizes, sizes - _required(sizes, threshold) + SLACK), 0)
             rows = np.repeat(np.arange(len(sizes)), sizes)
-            count = np.zeros(len(hashes), np.int64)
-            if len(table) and len(hashes):
-                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                count = np.where(table[at] == hashes, counts[at], 0)
-            order = np.lexsort((count, rows)) if count.any() else np.arange(len(hashes))
+            order = np.argsort((rows << 8) | counters[_bucket(hashes)], kind="stable")  # ties stay in the order of the hashes
             place = np.arange(len(hashes)) - offsets[:-1][rows]
-            take = order[place < wanted[rows]]
-            rows = rows[take]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(fps[rows].view(np.int64)), pa.array(sizes[rows].astype(np.int32))], ["shingle", "fp", "n"])
+            kept = place < wanted[rows]
+            take, rows, place = order[kept], rows[kept], place[kept]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[take].view(np.int64)), pa.array(fps[rows].view(np.int64)), pa.array((sizes[rows] << 32) | place)], ["shingle", "fp", "place"])
 
     return run
 
 
-def _sets(k: int):
+def _in_bitmap(words: np.ndarray):
+    """Rows (class_id, text) of the texts whose id may be among the chosen ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, offsets = shingle_sets(batch.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _list_array(hashes, offsets)], ["fp", "shingles"])
+            code = batch.column(2).to_numpy().view(np.uint64)
+            hit = (words.value[(code >> np.uint64(6)) % np.uint64(BITMAP_WORDS)] >> (code & np.uint64(63))) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["id", "text"]).filter(pa.array(hit.astype(bool)))
 
     return run
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp_a, fp_b, shared, similarity): binary probes of a's shingles in b's sorted array, for all pairs of a batch at once."""
-    for batch in batches:
-        a, b = batch.column(2), batch.column(3)
-        ao, bo = a.offsets.to_numpy(), b.offsets.to_numpy()
-        av, bv = a.values.to_numpy().view(np.uint64), b.values.to_numpy().view(np.uint64)
-        shared = np.empty(len(batch), np.int64)
-        for i in range(len(batch)):
-            x, y = np.sort(av[ao[i] : ao[i + 1]]), np.sort(bv[bo[i] : bo[i + 1]])
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            shared[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum() if len(y) else 0
-        union = np.diff(ao) + np.diff(bo) - shared
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(shared / np.maximum(union, 1))], ["fp_a", "fp_b", "shared", "similarity"])
+def _probe(k: int):
+    """(fp_a, fp_b, shared, similarity): binary probes of a's shingles in b's sorted array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (av, ao), (bv, bo) = (shingle_sets(batch.column(c).to_pylist(), k) for c in (2, 3))
+            shared = np.zeros(len(batch), np.int64)
+            for i in range(len(batch)):
+                x, y = np.sort(av[ao[i] : ao[i + 1]]), np.sort(bv[bo[i] : bo[i + 1]])
+                x, y = (x, y) if len(x) <= len(y) else (y, x)
+                shared[i] = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+            union = np.diff(ao) + np.diff(bo) - shared
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared), pa.array(shared / np.maximum(union, 1))], ["fp_a", "fp_b", "shared", "similarity"])
+
+    return run
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -112,30 +130,35 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     is similar enough, none left out. Texts that are null or too short are in neither; a repeated id with the same
     text counts once, and a null id is left out. Other columns are ignored.
     """
-    spark = df.sparkSession
+    least = max(least, 1)
+    context = df.sparkSession.sparkContext
     rows = df.select(df[id_col].cast("string").alias("id"), df[text_col].alias("text")).where("id is not null and text is not null")
-    scanned = materialize(rows.mapInArrow(_scan(words, max(least, 1)), "id string, fp bigint, n bigint"), "scan")
-    top = scanned.where("id is null").groupBy("fp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fp").limit(TABLE).toArrow()
-    table = top.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(table)
-    frequent = spark.sparkContext.broadcast((table[order], top.column(1).to_numpy()[order]))
-    members = scanned.where("id is not null").select("id", F.col("fp").alias("class_id"), F.col("n").cast("int").alias("n"))
-
-    lists = rows.select("text").mapInArrow(_short_lists(words, max(least, 1), threshold, frequent), "shingle bigint, fp bigint, n int")
-    lists = lists.groupBy("shingle", "fp").agg(F.first("n").alias("n"))
-    lists = materialize(lists.withColumn("entries", F.expr("count(1) over (partition by shingle)")).where("entries > 1").drop("entries"), "lists")
-    a, b = lists.select("shingle", F.col("fp").alias("fp_a"), F.col("n").alias("n_a")), lists.select("shingle", F.col("fp").alias("fp_b"), F.col("n").alias("n_b"))
-    share = threshold / (1 + threshold)
-    need = F.ceil(F.lit(share) * (F.col("n_a") + F.col("n_b")) - 1e-9) - F.ceil(F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9) + SLACK
-    likely = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    met = a.join(b, "shingle").where((F.col("fp_a") < F.col("fp_b")) & likely).groupBy("fp_a", "fp_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("met"))
-    candidates = materialize(met.where(F.col("met") >= F.least(need, F.col("n_a"), F.col("n_b"))).select("fp_a", "fp_b"), "candidates")
+    scanned = materialize(rows.mapInArrow(_scan(words, least), "id string, fp bigint, n int, counters binary"), "scan")
+    members = scanned.where("id is not null").select("id", F.col("fp").alias("class_id"), "n")
+    counters = np.zeros(BUCKETS, np.int64)
+    for row in scanned.where("id is null").select("fp", "counters").repartition("fp").mapInArrow(_add_up, "fp bigint, counters binary").toLocalIterator():
+        counters[row.fp * BLOCK : (row.fp + 1) * BLOCK] = np.frombuffer(row.counters, np.uint8)
+    counts = context.broadcast(counters.astype(np.uint8))
+
+    lists = rows.select("text").mapInArrow(_short_lists(words, least, threshold, counts), "shingle bigint, fp bigint, place bigint")
+    lists = lists.groupBy("shingle", "fp").agg(F.first("place").alias("place"))
+    of = lambda x: lists.select("shingle", F.col("fp").alias(f"fp_{x}"), F.shiftright("place", 32).alias(f"n_{x}"), F.expr("place & 4294967295").alias(f"rank_{x}"))
+    together = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    meets = (F.col("fp_a") < F.col("fp_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
+    for x in "ab":
+        meets = meets & (F.col(f"rank_{x}") < F.col(f"n_{x}") - together + SLACK)
+    met = of("a").join(of("b"), "shingle").where(meets).groupBy("fp_a", "fp_b").agg(F.count(F.lit(1)).alias("met"), F.first(together).alias("together"))
+    candidates = materialize(met.where(F.col("met") >= F.least(F.lit(SLACK), "together")).select("fp_a", "fp_b"), "candidates")
 
     wanted = candidates.select(F.explode(F.array("fp_a", "fp_b")).alias("class_id")).distinct()
-    chosen = members.join(wanted, "class_id", "left_semi").groupBy("class_id").agg(F.min("id").alias("id"))
-    sets = materialize(rows.join(chosen, "id").dropDuplicates(["class_id"]).select("class_id", "text").mapInArrow(_sets(words), "fp bigint, shingles array<bigint>"), "sets")
-    both = candidates.join(sets.select(F.col("fp").alias("fp_a"), F.col("shingles").alias("a")), "fp_a").join(sets.select(F.col("fp").alias("fp_b"), F.col("shingles").alias("b")), "fp_b")
-    pairs = both.select("fp_a", "fp_b", "a", "b").mapInArrow(_probe, "fp_a bigint, fp_b bigint, shared bigint, similarity double").where(F.col("similarity") >= threshold)
+    chosen = materialize(members.join(wanted, "class_id", "left_semi").groupBy("class_id").agg(F.min("id").alias("id")), "chosen")
+    bits = chosen.select(F.xxhash64("id").alias("code")).groupBy(F.expr(f"shiftrightunsigned(code, 6) % {BITMAP_WORDS}").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
+    bitmap[bits.column(0).to_numpy()] = bits.column(1).to_numpy().view(np.uint64)
+    likely = rows.withColumn("code", F.xxhash64("id")).mapInArrow(_in_bitmap(context.broadcast(bitmap)), "id string, text string")
+    texts = materialize(likely.join(chosen, "id").dropDuplicates(["class_id"]).select(F.col("class_id"), "text"), "texts")
+    both = candidates.join(texts.select(F.col("class_id").alias("fp_a"), F.col("text").alias("a")), "fp_a").join(texts.select(F.col("class_id").alias("fp_b"), F.col("text").alias("b")), "fp_b")
+    pairs = both.select("fp_a", "fp_b", "a", "b").mapInArrow(_probe(words), "fp_a bigint, fp_b bigint, shared bigint, similarity double").where(F.col("similarity") >= threshold)
     return members.dropDuplicates(["id"]), pairs.select(F.col("fp_a").alias("class_a"), F.col("fp_b").alias("class_b"), "shared", "similarity")
 
 
