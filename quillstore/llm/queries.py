@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstore.llm.bpe import encode_corpus
 from quillstore.llm.leakage import leaked_documents, leaked_items
 from quillstore.llm.near_duplicates import expand_pairs, near_duplicates
+from quillstore.llm.reading_level import level_profile, reading_levels
 from quillstore.llm.splitting import split_oversized
 from quillstore.sources.tables import read_table
 
@@ -47,6 +48,18 @@ def p7_documents(spark: SparkSession, base: str) -> DataFrame:
     return found.select("doc_id", F.array_join(found["items"].cast("array<string>"), ",").alias("items"), "n_items")
 
 
+def p8_levels(spark: SparkSession, base: str) -> DataFrame:
+    return reading_levels(read_table(spark, base, "documents"), read_table(spark, base, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return p8_levels(spark, base).select("doc_id", "level")
+
+
+def p8_profile(spark: SparkSession, base: str) -> DataFrame:
+    return level_profile(p8_levels(spark, base))
+
+
 P2_SQL = """
 WITH w AS (SELECT id, regexp_extract_all(lower(any_value(body)), '[a-z0-9]+') AS w FROM chunks WHERE id IS NOT NULL GROUP BY id),
 s AS (SELECT id, list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM w WHERE len(w) >= 3),
@@ -71,7 +84,7 @@ dp AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (n, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents, "p8_found": p8_found, "p8_profile": p8_profile}
 SQL = {
     "p2_found": P2_SQL,
     "p4_found": P4_SQL,
