@@ -32,6 +32,8 @@ BUCKETS, BLOCK = 1 << 22, 1 << 12
 SLACK = 3
 #: 64-bit words of the bitmap that keeps most texts without a candidate from being shuffled.
 BITMAP_WORDS = 1 << 19
+#: Sets that a task remembers to have told.
+REMEMBERED = 1 << 20
 
 
 def _required(sizes: np.ndarray, threshold: float) -> np.ndarray:
@@ -74,15 +76,22 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _short_lists(k: int, least: int, threshold: float, counts):
-    """Rows (shingle, fp, place) of the rarest shingles of each set; place holds the set's size and the shingle's rank in it."""
+    """Rows (shingle, fp, place) of the rarest shingles of each set; place holds the set's size and the shingle's rank in it.
+
+    A task tells equal sets once, so that a hot group of copies is no more than one row per task and shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = counts.value
+        counters, told = counts.value, np.empty(0, np.uint64)
         for batch in batches:
             hashes, offsets = shingle_sets(batch.column(0).to_pylist(), k)
             sizes = np.diff(offsets)
             fps = set_hashes(hashes, offsets)
-            wanted = np.where(sizes >= least, np.minimum(sizes, sizes - _required(sizes, threshold) + SLACK), 0)
+            first = np.zeros(len(fps), bool)
+            first[np.unique(fps, return_index=True)[1]] = True
+            first &= ~np.isin(fps, told)
+            told = np.concatenate([told if len(told) < REMEMBERED else told[:0], fps[first]])
+            wanted = np.where(first & (sizes >= least), np.minimum(sizes, sizes - _required(sizes, threshold) + SLACK), 0)
             rows = np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort((rows << 8) | counters[_bucket(hashes)], kind="stable")  # ties stay in the order of the hashes
             place = np.arange(len(hashes)) - offsets[:-1][rows]
@@ -141,7 +150,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     counts = context.broadcast(counters.astype(np.uint8))
 
     lists = rows.select("text").mapInArrow(_short_lists(words, least, threshold, counts), "shingle bigint, fp bigint, place bigint")
-    lists = lists.groupBy("shingle", "fp").agg(F.first("place").alias("place"))
+    # Copies of a set told by several tasks only count too many meetings, which the probe puts right.
     of = lambda x: lists.select("shingle", F.col("fp").alias(f"fp_{x}"), F.shiftright("place", 32).alias(f"n_{x}"), F.expr("place & 4294967295").alias(f"rank_{x}"))
     together = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
     meets = (F.col("fp_a") < F.col("fp_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
