@@ -11,6 +11,7 @@ from quillstore.llm.bpe import encode_corpus
 from quillstore.llm.leakage import leaked_documents, leaked_items
 from quillstore.llm.near_duplicates import expand_pairs, near_duplicates
 from quillstore.llm.reading_level import level_profile, reading_levels
+from quillstore.llm.similar_vectors import neighbour_pairs, similar_vectors
 from quillstore.llm.splitting import split_oversized
 from quillstore.sources.tables import read_table
 
@@ -35,6 +36,11 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
     return items.select("src_table", "item_id", F.when(F.col("run") > F.col("limit"), "forced").otherwise("natural").alias("cut"))
 
 
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    of = lambda table: neighbour_pairs(similar_vectors(read_table(spark, base, table), "id", "embedding")).withColumn("src_table", F.lit(table))
+    return of("vectors").unionByName(of("chunks")).select("src_table", "id_a", "id_b")
+
+
 def p6_ids(spark: SparkSession, base: str, vocabulary: str = VOCABULARY) -> DataFrame:
     return encode_corpus(read_table(spark, base, "documents"), "doc_id", "text", vocabulary)
 
@@ -74,6 +80,15 @@ SELECT DISTINCT src_table, item_id, CASE WHEN list_max(list_transform(regexp_spl
 FROM t WHERE length(x) > n AND item_id IS NOT NULL
 """
 
+P5_SQL = """
+WITH r AS (SELECT DISTINCT 'vectors' AS src_table, id, CAST(embedding AS DOUBLE[]) AS e FROM vectors UNION SELECT 'chunks', id, CAST(embedding AS DOUBLE[]) FROM chunks),
+u AS (SELECT src_table, id, CAST(e AS DOUBLE[64]) AS e FROM r
+      WHERE id IS NOT NULL AND len(e) = 64 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+c AS (SELECT a.src_table, a.id AS id, b.id AS other, round(array_cosine_similarity(a.e, b.e), 9) AS s FROM u a JOIN u b ON a.src_table = b.src_table AND a.id <> b.id),
+n AS (SELECT *, row_number() OVER (PARTITION BY src_table, id ORDER BY s DESC, other) AS k FROM c WHERE s >= 0.85)
+SELECT DISTINCT src_table, least(id, other) AS id_a, greatest(id, other) AS id_b FROM n WHERE k <= 5
+"""
+
 P7_SQL = """
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL AND item_id IS NOT NULL),
 ip AS (SELECT DISTINCT item_id, least(12, len(w)) AS n, array_to_string(w[i : i + least(12, len(w)) - 1], ' ') AS g
@@ -84,10 +99,11 @@ dp AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (n, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents, "p8_found": p8_found, "p8_profile": p8_profile}
 SQL = {
     "p2_found": P2_SQL,
     "p4_found": P4_SQL,
+    "p5_found": P5_SQL,
     "p7_found": P7_SQL,
     "p7_documents": f"SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, count(*) AS n_items FROM ({P7_SQL}) GROUP BY doc_id",
 }
