@@ -40,15 +40,19 @@ _END = re.compile(r"[.!?…。]+(?=\s|\Z)|\n\s*\n|\n(?=\s*(?:[-*+>]|\d+\.)\s)")
 _TOKEN = regex.compile(r"\p{L}+|\x00")
 
 
-def _measure(text: str) -> tuple[list[str], float]:
-    """(lower-cased words, average sentence length) of the prose in a text; of the whole text if nothing else has words."""
+def _measure(text: str, least: int) -> tuple[list[str], float] | None:
+    """(lower-cased words, average sentence length) of the prose in a text; of the whole text if nothing else has words. None for fewer than `least` words in the whole text."""
     prose = _CODE.sub("\n\n", text) if "```" in text else text
     prose = _HEADING.sub("\n\n", _LINK.sub(" ", prose)) if any(x in prose for x in ("[[", "](", "http", "#")) else prose
     tokens = _TOKEN.findall(_END.sub(" \0 ", prose.replace("\0", " ")))
-    if all(t == "\0" for t in tokens):
-        tokens = _TOKEN.findall(text.replace("\0", " "))
-    words, lengths, begin = [t.lower() for t in tokens if t != "\0"], [], 0
     marks = [i for i, t in enumerate(tokens) if t == "\0"]
+    if len(tokens) - len(marks) < least:
+        every = _TOKEN.findall(text.replace("\0", " "))
+        if len(every) < least:
+            return None
+        if len(tokens) == len(marks):
+            tokens, marks = every, []
+    words, lengths, begin = [t.lower() for t in tokens if t != "\0"], [], 0
     for i in [*marks, len(tokens)]:
         if i > begin:
             lengths.append(i - begin)
@@ -57,46 +61,59 @@ def _measure(text: str) -> tuple[list[str], float]:
     return words, sum(whole) / max(len(whole), 1)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(least: int):
     """(lang, bin, word, n): document frequencies by the language stated and the bin of the sentence length; word null counts the documents."""
-    counts: dict[tuple[str, int], Counter] = {}
-
-    def rows() -> pa.RecordBatch:
-        found = [(lang, at, word, n) for (lang, at), words in counts.items() for word, n in words.items()]
-        columns = list(zip(*found)) or [()] * 4
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "bin", "word", "n"])
-
-    for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words, length = _measure(text)
-            counter = counts.setdefault((lang, int(length / BIN)), Counter())
-            counter.update(set(words))
-            counter[None] += 1
-        if sum(map(len, counts.values())) > 500_000:
-            yield rows()
-    yield rows()
-
-
-def _features(lists):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int], Counter] = {}
+
+        def rows() -> pa.RecordBatch:
+            found = [(lang, at, word, n) for (lang, at), words in counts.items() for word, n in words.items()]
+            columns = list(zip(*found)) or [()] * 4
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "bin", "word", "n"])
+
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                measured = _measure(text, least)
+                if measured is None:
+                    continue
+                words, length = measured
+                counter = counts.setdefault((lang, int(length / BIN)), Counter())
+                counter.update(set(words))
+                counter[None] += 1
+            if sum(map(len, counts.values())) > 500_000:
+                yield rows()
+        yield rows()
+
+    return run
+
+
+def _features(lists, least: int):
     """(doc_id, n_words, lang, sentence_length, unfamiliar) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, profile, familiar = lists.value
         for batch in batches:
-            lang, length, share = [], [], []
-            for text in batch.column(2).to_pylist():
-                words, average = _measure(text)
+            kept, count, lang, length, share = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                measured = _measure(text, least)
+                if measured is None:
+                    continue
+                words, average = measured
                 scores = [0.0] * len(langs)
                 for hits in map(profile.get, set(words)):
                     for k, x in hits or ():
                         scores[k] += x
                 best = max(range(len(langs)), key=scores.__getitem__, default=None)
                 known = familiar[best] if best is not None else frozenset()
+                kept.append(i)
+                count.append(len(words))
                 lang.append(langs[best] if best is not None else None)
                 length.append(average)
                 share.append(sum(w not in known for w in words) / max(len(words), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(length, pa.float64()), pa.array(share, pa.float64())], ["doc_id", "n_words", "lang", "sentence_length", "unfamiliar"])
+            columns = [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(count, pa.int32()), pa.array(lang, pa.string()), pa.array(length, pa.float64()), pa.array(share, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "lang", "sentence_length", "unfamiliar"])
 
     return run
 
@@ -104,17 +121,16 @@ def _features(lists):
 def text_features(df: DataFrame, id_col: str, text_col: str, lang_col: str, least_words: int = 60) -> DataFrame:
     """doc_id, n_words, lang, sentence_length, unfamiliar of each text with at least `least_words` words (runs of letters).
 
+    n_words counts the words of the prose, that is without code, links and headings, unless there are no others.
     Null texts have no words. lang is the language that the document frequencies tell, null if no language is stated often
     enough anywhere. Repeated rows give a row each; other columns are ignored.
     """
     docs = (
         df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"))
-        .where("text is not null")
-        .withColumn("n_words", F.regexp_count("text", F.lit(r"\p{L}+")))
-        .where(F.col("n_words") >= least_words)
+        .where(F.length("text") >= 2 * least_words - 1)
     )
     stated = docs.select("text", F.lower(F.substring("lang", 1, 2)).alias("lang")).where("lang rlike '^[a-z][a-z]$'")
-    counted = stated.mapInArrow(_frequencies, "lang string, bin int, word string, n bigint").groupBy("lang", "bin", "word").agg(F.sum("n").alias("n"))
+    counted = stated.mapInArrow(_frequencies(least_words), "lang string, bin int, word string, n bigint").groupBy("lang", "bin", "word").agg(F.sum("n").alias("n"))
     counted = materialize(counted, "frequencies")
     bins = counted.where("word is null").groupBy("lang", "bin").agg(F.sum("n").alias("docs"))
     below = Window.partitionBy("lang").orderBy("bin")
@@ -141,7 +157,7 @@ def text_features(df: DataFrame, id_col: str, text_col: str, lang_col: str, leas
     familiar = [frozenset(r.word for r in rows if r.lang == lang and r.plain_share >= FAMILIAR_SHARE) for lang in langs]
     lists = df.sparkSession.sparkContext.broadcast((langs, profile, familiar))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "n_words", "text").mapInArrow(_features(lists), f"doc_id {kind}, n_words int, lang string, sentence_length double, unfamiliar double")
+    return docs.select("doc_id", "text").mapInArrow(_features(lists, least_words), f"doc_id {kind}, n_words int, lang string, sentence_length double, unfamiliar double")
 
 
 def _design(langs: list[str], lang: np.ndarray, length: np.ndarray, share: np.ndarray) -> np.ndarray:
