@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def doubles(x: Column) -> Column:
     return x.cast("array<double>")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is computed once per row, not once per element."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -65,16 +71,15 @@ def activation(name: str, x: Column) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    raised = F.transform(doubles(x), lambda v: F.exp(v - F.array_max(doubles(x))))
-    return F.transform(raised, lambda v: v / total(raised))
+    raised = let(F.array_max(doubles(x)), lambda m: F.transform(doubles(x), lambda v: F.exp(v - m)))
+    return let(raised, lambda r: let(total(r), lambda t: F.transform(r, lambda v: v / t)))
 
 
 def layer_norm(x: Column, gamma: Column | None = None, beta: Column | None = None, eps: float = 1e-5) -> Column:
     """With the variance of the population; gamma and beta are arrays of the same length."""
     d = doubles(x)
-    mean = total(d) / F.size(d)
-    spread = total(F.transform(d, lambda v: v * v)) / F.size(d) - mean * mean
-    out = F.transform(d, lambda v: (v - mean) / F.sqrt(F.greatest(spread, F.lit(0.0)) + eps))
+    centred = let(total(d) / F.size(d), lambda mean: F.transform(d, lambda v: v - mean))
+    out = let(centred, lambda c: let(F.sqrt(dot(c, c) / F.size(c) + eps), lambda spread: F.transform(c, lambda v: v / spread)))
     if gamma is not None:
         out = F.zip_with(out, doubles(gamma), lambda a, b: a * b)
     return add(out, beta) if beta is not None else out
@@ -82,9 +87,8 @@ def layer_norm(x: Column, gamma: Column | None = None, beta: Column | None = Non
 
 def l2_normalize(x: Column) -> Column:
     """Of length 1; a zero or non-finite length is an error."""
-    n = norm(x)
-    checked = F.when((n > 0) & (n < F.lit(float("inf"))), n).otherwise(F.raise_error(F.lit("the length is zero or not finite")).cast("double"))
-    return F.transform(doubles(x), lambda v: v / checked)
+    checked = lambda n: F.when((n > 0) & (n < F.lit(float("inf"))), n).otherwise(F.raise_error(F.lit("the length is zero or not finite")).cast("double"))
+    return let(norm(x), lambda n: F.transform(doubles(x), lambda v: v / checked(n)))
 
 
 def pad_ids(ids: Column, size: int, pad: int, left: bool = False) -> Column:

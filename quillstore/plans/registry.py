@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstore.plans import integrity, retrieval_queries, store_queries
+from quillstore.plans import integrity, retrieval_queries, store_queries, stream_queries, text_queries
 
-_MODULES = (integrity, store_queries, retrieval_queries)
+_MODULES = (integrity, store_queries, retrieval_queries, text_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
