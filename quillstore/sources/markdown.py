@@ -22,7 +22,7 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], _FILES)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").load(root)
     below = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + _quoted(system.makeQualified(place).toUri().getPath()) + "/*", "")
-    return files.select(F.regexp_replace(below, r"\.(md|markdown)\z", "").alias("slug"), "path", F.unix_micros("modificationTime").alias("mtime_us"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    return files.select(F.regexp_replace(below, r"\.(md|markdown)\z", "").alias("slug"), "path", F.unix_micros("modificationTime").alias("mtime_us"), F.make_valid_utf8(F.col("content").cast("string")).alias("body"))
 
 
 def _quoted(text: str) -> str:
