@@ -26,12 +26,6 @@ def month_of(us: Column) -> Column:
     return (F.year(day) * 12 + F.month(day) - 1).cast("int")
 
 
-def month_start(month: Column) -> Column:
-    """Microseconds at the start of a month numbered as in `month_of`."""
-    year = F.floor(month / 12).cast("int")
-    return F.unix_date(F.make_date(year, (month - year * 12 + 1).cast("int"), F.lit(1))).cast("bigint") * F.lit(DAY_US)
-
-
 def month_label(month: Column) -> Column:
     """`YYYY-MM` of a month numbered as in `month_of`."""
     year = F.floor(month / 12).cast("int")

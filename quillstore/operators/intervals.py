@@ -1,9 +1,9 @@
 """Continuous periods and gaps of validity intervals, per entity.
 
 Each start is compared with the running maximum of the ends before it; where it lies beyond, a new island begins.
-A window over a whole entity would put all of a hot entity's rows into one task, so the running maximum is taken in
-two levels: within time buckets of an entity, and over the buckets, of which an entity has no more than its time range
-holds. The bucket only spreads the work; the result doesn't depend on it.
+An entity's rows are sorted in one task, unless they are many: entities whose hash falls into a slot with more than its
+share of all rows take a path in two levels, on which the running maximum is taken within time buckets of an entity, and
+over the buckets, of which an entity has no more than its time range holds. Both paths give the same rows.
 """
 
 from __future__ import annotations
@@ -18,32 +18,39 @@ def _col(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
-def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, row_id: str | None = None, bucket_us: int = 7 * DAY_US) -> DataFrame:
-    """One row per continuous period: k1..kn, from_us, to_us, n_rows, gap_from_us.
+#: Slots into which entities are hashed to find hot ones, and rows up to which a slot is never hot.
+SLOTS, HOT_ROWS = 1 << 16, 500_000
 
-    An interval holds its start and not its end; a null end is open (`to_us` = OPEN_US). Intervals that overlap or
-    touch belong to one period. gap_from_us is the end of the entity's period before, null at its first.
-    Rows with a null key or start, or an end not after the start, are left out. With `row_id`, rows with equal id,
-    keys and bounds count once, and two ids with one interval are two rows (a null id counts as one id); without it
-    every row counts. Other columns of `df` are ignored, whatever their names; an empty table gives an empty result.
-    """
-    names = [f"k{i + 1}" for i in range(len(keys))]
-    kind = {f.name: f.dataType for f in df.schema.fields}
-    rows = df.select(
-        *(_col(df, k).alias(n) for k, n in zip(keys, names)),
-        micros(_col(df, start), kind[start]).alias("s"),
-        F.coalesce(micros(_col(df, end), kind[end]), F.lit(OPEN_US)).alias("e"),
-        (_col(df, row_id) if row_id else F.lit(None)).alias("rid"),
+
+def _hot_slots(rows: DataFrame, hot_rows: int) -> list[int]:
+    """The slots with more than `hot_rows` rows and four times the mean of all slots."""
+    counts = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    mean = F.sum("n").over(Window.partitionBy()) / SLOTS  # over one row per slot at most
+    return [r.slot for r in counts.withColumn("limit", F.greatest(F.lit(hot_rows), 4 * mean)).where("n > limit").select("slot").collect()]
+
+
+def _in_one_level(rows: DataFrame, names: list[str], row_id: bool) -> DataFrame:
+    """Islands of entities of which each fits a task: one shuffle."""
+    rows = rows.repartition(*names)
+    if row_id:
+        rows = rows.dropDuplicates([*names, "s", "e", "rid"])
+    within = Window.partitionBy(*names).orderBy("s")
+    starts = rows.groupBy(*names, "s").agg(F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    labelled = (
+        starts.withColumn("prev", F.max("e").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("opens", F.col("prev").isNull() | (F.col("s") > F.col("prev")))
+        .withColumn("from_us", F.max(F.when(F.col("opens"), F.col("s"))).over(within.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    usable = F.col("s").isNotNull() & (F.col("e") > F.col("s"))
-    for n in names:
-        usable = usable & F.col(n).isNotNull()
+    return labelled.groupBy(*names, "from_us").agg(F.max("e").alias("to_us"), F.sum("n").alias("n_rows"), F.max(F.when(F.col("opens"), F.col("prev"))).alias("gap_from_us"))
+
+
+def _in_two_levels(rows: DataFrame, names: list[str], row_id: bool, bucket_us: int) -> DataFrame:
+    """Islands of entities of any size."""
     part = [*names, "b"]
-    rows = rows.where(usable).withColumn("b", F.floor(F.col("s") / F.lit(bucket_us))).repartition(*part)
+    rows = rows.withColumn("b", F.floor(F.col("s") / F.lit(bucket_us))).repartition(*part)
     if row_id:
         rows = rows.dropDuplicates([*part, "s", "e", "rid"])
     starts = rows.groupBy(*part, "s").agg(F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
-
     earlier = Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     reach = starts.groupBy(*part).agg(F.max("e").alias("reach")).withColumn("reach", F.max("reach").over(earlier))
     within = Window.partitionBy(*part).orderBy("s")
@@ -63,6 +70,32 @@ def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, row_i
     )
 
 
+def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, row_id: str | None = None, bucket_us: int = 7 * DAY_US, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per continuous period: k1..kn, from_us, to_us, n_rows, gap_from_us.
+
+    An interval holds its start and not its end; a null end is open (`to_us` = OPEN_US). Intervals that overlap or
+    touch belong to one period. gap_from_us is the end of the entity's period before, null at its first.
+    Rows with a null key or start, or an end not after the start, are left out. With `row_id`, rows with equal id,
+    keys and bounds count once, and two ids with one interval are two rows (a null id counts as one id); without it
+    every row counts. Other columns of `df` are ignored, whatever their names; an empty table gives an empty result.
+    """
+    names = [f"k{i + 1}" for i in range(len(keys))]
+    kind = {f.name: f.dataType for f in df.schema.fields}
+    rows = df.select(
+        *(_col(df, k).alias(n) for k, n in zip(keys, names)),
+        micros(_col(df, start), kind[start]).alias("s"),
+        F.coalesce(micros(_col(df, end), kind[end]), F.lit(OPEN_US)).alias("e"),
+        (_col(df, row_id) if row_id else F.lit(None)).alias("rid"),
+    )
+    usable = F.col("s").isNotNull() & (F.col("e") > F.col("s"))
+    for n in names:
+        usable = usable & F.col(n).isNotNull()
+    rows = rows.where(usable).withColumn("slot", F.pmod(F.xxhash64(*names), F.lit(SLOTS)).cast("int"))
+    hot = _hot_slots(rows, hot_rows)
+    cold = _in_one_level(rows.where(~F.col("slot").isin(hot)) if hot else rows, names, row_id is not None)
+    return cold.unionByName(_in_two_levels(rows.where(F.col("slot").isin(hot)), names, row_id is not None, bucket_us)) if hot else cold
+
+
 def periods_and_gaps(islands: DataFrame, least_rows: int = 1) -> DataFrame:
     """k1..kn, kind (`period`, `gap`), from_us, to_us of `interval_islands`; to_us is -1 for an open period.
 

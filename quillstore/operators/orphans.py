@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstore.functions.times import OPEN_US, month_label, month_of, month_start
+from quillstore.functions.times import OPEN_US, month_label, month_of
 from quillstore.operators.intervals import interval_islands
 from quillstore.sources.tables import materialize
 

@@ -40,8 +40,9 @@ def test_random_intervals_in_many_bucket_sizes(spark):
         rows.append((i, rng.choice(["p", "q", "", None]), rng.choice(["u", "v"]), s if rng.random() > 0.05 else None, rng.choice([None, s + rng.randrange(-5, 60)]) if rng.random() < 0.03 else s + rng.randrange(-5, 12)))
     rows += rows[:50]
     want = brute(rows)
+    assert islands(spark, rows) == want
     for bucket in (7, 100, 10**6):
-        assert islands(spark, rows, bucket_us=bucket) == want
+        assert islands(spark, rows, bucket_us=bucket, hot_rows=0) == want
 
 
 def test_touching_intervals_are_one_period_and_equal_ones_count_by_id(spark):
@@ -60,5 +61,5 @@ def test_empty_table(spark):
 
 
 def test_one_hot_entity(spark):
-    rows = [(i, "hot", "b", i * 10, i * 10 + 10 - (i % 100 == 99)) for i in range(3000)]
-    assert islands(spark, rows, bucket_us=1000) == brute(rows)
+    rows = [(i, "hot", "b", i * 10, i * 10 + 10 - (i % 100 == 99)) for i in range(3000)] + [(i, f"cold{i % 50}", "b", i, i + 20) for i in range(3000, 3500)]
+    assert islands(spark, rows, bucket_us=1000, hot_rows=1000) == brute(rows)
