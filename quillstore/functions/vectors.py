@@ -115,10 +115,59 @@ def position_ids(tokens: DataFrame, pad: int) -> DataFrame:
     return tokens.withColumn("position", F.when(F.col("id") == pad, F.lit(pad)).otherwise(count + pad).cast("bigint"))
 
 
-def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
-    """i, j, value of the product of two matrices given as rows (i, k, value) and (k, j, value); absent elements are zero."""
-    left, right = a.select("i", "k", F.col("value").alias("x")), b.select("k", "j", F.col("value").alias("y"))
-    return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+def matmul(a: DataFrame, b: DataFrame, batch: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, value of the product of two matrices given as rows (i, k, value) and (k, j, value); absent elements are zero. With `batch` columns, one product per value of these."""
+    left, right = a.select(*batch, "i", "k", F.col("value").alias("x")), b.select(*batch, "k", "j", F.col("value").alias("y"))
+    return left.join(right, [*batch, "k"]).groupBy(*batch, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+
+
+def linear(x: DataFrame, weight: DataFrame, bias: DataFrame) -> DataFrame:
+    """i, j, value of x W^T + b, from x (i, k, value), weight (j, k, value) and bias (j, bias)."""
+    product = matmul(x, weight.select("k", "j", "value"))
+    return product.join(bias, "j").select("i", "j", (F.col("value") + F.col("bias")).alias("value"))
+
+
+def attention(queries: DataFrame, keys: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """row, pos, embedding: scaled dot-product attention within each row.
+
+    queries (row, pos, embedding), keys (row, pos, embedding, value); kept (row, pos) are the positions that may be
+    attended to, all without it. The weights are a softmax of q.k / sqrt(dimension), shifted by the largest score.
+    """
+    allowed = keys if kept is None else keys.join(kept.select("row", "pos"), ["row", "pos"], "left_semi")
+    pairs = queries.select("row", F.col("pos").alias("q_pos"), F.col("embedding").alias("q")).join(allowed.select("row", "pos", F.col("embedding").alias("k"), F.col("value").alias("v")), "row")
+    scored = pairs.select("row", "q_pos", "pos", "v", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q"))).alias("score"))
+    by_query = Window.partitionBy("row", "q_pos")
+    weighted = scored.withColumn("weight", F.exp(F.col("score") - F.max("score").over(by_query)))
+    weighted = weighted.withColumn("weight", F.col("weight") / F.sum("weight").over(by_query))
+    cells = weighted.select("row", F.col("q_pos").alias("pos"), F.posexplode(F.transform(doubles(F.col("v")), lambda x: x * F.col("weight"))).alias("at", "value"))
+    sums = cells.groupBy("row", "pos", "at").agg(F.sum("value").alias("value"))
+    return sums.groupBy("row", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("embedding"))
+
+
+def sinusoidal_positions(positions: Column, dim: int) -> Column:
+    """The positional code of a position: sine at even, cosine at odd places, of falling frequency."""
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    angle = lambda i: positions / F.pow(F.lit(10000.0), (i - i % 2) / F.lit(float(dim)))
+    return F.transform(places, lambda i: F.when(i % 2 == 0, F.sin(angle(i))).otherwise(F.cos(angle(i))))
+
+
+def viterbi(emissions: Column, transitions: list[list[float]], start: list[float], end: list[float]) -> Column:
+    """The best sequence of tags, as array<int>, of emissions (array of arrays, one score per tag and step) and scores for steps between tags.
+
+    A fold over the steps keeps, for each tag, the best path that ends in it; ties go to the smaller tag.
+    """
+    tags = range(len(start))
+    kind = "array<struct<score:double,path:array<int>>>"
+    best = lambda paths: F.array_max(F.transform(paths, lambda p, i: F.struct(p["score"].alias("score"), (-i).alias("tie"), p["path"].alias("path"))))
+    begin = F.array(*(F.struct((F.lit(float(start[t])) + emissions[0][t]).cast("double").alias("score"), F.array(F.lit(t)).alias("path")) for t in tags)).cast(kind)
+
+    def step(paths: Column, scores: Column) -> Column:
+        into = lambda t: best(F.transform(paths, lambda p, i: F.struct((p["score"] + F.array(*(F.lit(float(transitions[f][t])) for f in tags))[i] + scores[t]).alias("score"), p["path"].alias("path"))))
+        return F.array(*(F.struct(into(t)["score"].cast("double").alias("score"), F.concat(into(t)["path"], F.array(F.lit(t))).alias("path")) for t in tags)).cast(kind)
+
+    folded = F.aggregate(F.slice(emissions, 2, F.greatest(F.size(emissions) - 1, F.lit(0))), begin, step)
+    ended = F.transform(folded, lambda p, i: F.struct((p["score"] + F.array(*(F.lit(float(e)) for e in end))[i]).alias("score"), p["path"].alias("path")))
+    return F.when(F.size(emissions) == 0, F.array().cast("array<int>")).otherwise(best(ended)["path"])
 
 
 def long_form(df: DataFrame, id_col: str, array_col: str) -> DataFrame:

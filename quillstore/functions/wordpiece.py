@@ -6,7 +6,7 @@ import unicodedata
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +80,30 @@ class WordPiece:
             at = end
         return found
 
+    def normalize_with_origin(self, text: str) -> tuple[str, list[tuple[int, int]]]:
+        """The normal form, character by character, and the bytes of the original that each of its characters comes from."""
+        out, origin, at = [], [], 0
+        for c in text:
+            # Accents may stand apart from their letter, so each character is taken by itself.
+            for x in self.normalize(c):
+                out.append(x)
+                origin.append((at, at + len(c.encode())))
+            at += len(c.encode())
+        return "".join(out), origin
+
+    def encode_with_offsets(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, begin, end) of each piece, in bytes of the original text; (0, 0) for [CLS] and [SEP]."""
+        normal, origin = self.normalize_with_origin(text)
+        found, at = [], 0
+        for word in self.words(normal):
+            at = normal.index(word, at)
+            ids = self.pieces(word)
+            sizes = [len(word)] if ids == [self.ids["[UNK]"]] else [len(self.tokens[i]) - 2 * (n > 0) for n, i in enumerate(ids)]
+            for i, size in zip(ids, sizes):
+                found.append((i, origin[at][0], origin[at + size - 1][1]))
+                at += size
+        return [(self.ids["[CLS]"], 0, 0), *found[: max(self.max_length - 2, 0)], (self.ids["[SEP]"], 0, 0)]
+
     def encode(self, text: str, memory: dict[str, list[int]]) -> list[int]:
         """Ids between [CLS] and [SEP], cut to max_length."""
         ids: list[int] = []
@@ -125,6 +149,22 @@ def encoded(text: Column, model: WordPiece) -> Column:
     return run(text)
 
 
+def encoding(text: Column, model: WordPiece) -> Column:
+    """array<struct<id, begin, end>> of a text: its pieces with the bytes of the original they come from."""
+    kind = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("id", "begin", "end")]))
+
+    @F.pandas_udf(kind)
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda x: None if x is None else [dict(zip(("id", "begin", "end"), e)) for e in model.encode_with_offsets(x)])
+
+    return run(text)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The tokens of a text file with one token per line, in order; the number of the line is the id."""
+    return tuple(spark.sparkContext.wholeTextFiles(path).values().first().rstrip("\n").split("\n"))
+
+
 def joined_pair(first: Column, second: Column, model: WordPiece, cut: str = "longest_first") -> Column:
     """struct(ids, type_ids) of two encoded texts: [CLS] first [SEP] second [SEP], cut to max_length: the longer first (the first one if both are as long), or only one of them."""
     inner = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0)))

@@ -65,6 +65,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, dim: int, id_col
         return checked.mapInArrow(_nearest(context.broadcast((list(names), q)), dim, k), "query_id string, id string, similarity double")
 
     for row in queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").orderBy("query_id").toLocalIterator():
+        if row.embedding is None or len(row.embedding) != dim:
+            raise ValueError("a query has another dimension")
         names.append(row.query_id)
         rows.append(row.embedding)
         if len(names) == BLOCK:

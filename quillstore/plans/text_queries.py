@@ -140,6 +140,30 @@ def late_interaction(spark, base):
     return vectors.late_interaction(q, d).withColumn("score", F.round("score", 5))
 
 
+def wordpiece_offsets(spark, base):
+    rows = read_table(spark, base, "documents").where("title is not null").select("doc_id", F.explode(wordpiece.encoding(F.col("title"), MODEL)).alias("piece"))
+    return rows.select("doc_id", "piece.id", "piece.begin", "piece.end")
+
+
+def attention(spark, base):
+    """Attention within groups of eight vectors, the first six of which may be attended to."""
+    rows = read_table(spark, base, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("row"), F.pmod("vec_id", F.lit(8)).alias("pos"), vectors.doubles(F.col("embedding")).alias("embedding"))
+    out = vectors.attention(rows, rows.withColumn("value", F.col("embedding")), rows.where("pos < 6"))
+    return out.select("row", "pos", F.posexplode("embedding").alias("at", "value")).withColumn("value", F.round("value", 5) + 0.0)  # no negative zero
+
+
+def sinusoidal_positions(spark, base):
+    rows = read_table(spark, base, "embeddings").select("vec_id", F.posexplode(vectors.sinusoidal_positions(F.col("vec_id").cast("double"), 16)).alias("pos", "value"))
+    return rows.withColumn("value", F.round("value", 6))
+
+
+def viterbi_tags(spark, base):
+    """The best tags of each vector, read as 21 steps of three scores, and how often tags follow each other."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.slice(vectors.doubles(F.col("embedding")), i * 3 + 1, 3))
+    tags = vectors.viterbi(steps, [[0.1, -0.2, 0.05], [0.0, 0.15, -0.1], [-0.05, 0.1, 0.2]], [0.1, 0.0, -0.1], [0.0, 0.1, 0.0])
+    return read_table(spark, base, "embeddings").select("vec_id", F.array_join(tags.cast("array<string>"), "").alias("tags"))
+
+
 _E = "CAST(embedding AS DOUBLE[])"
 
 
@@ -180,7 +204,8 @@ QUERIES = {
     "normalize_text": normalize_text, "wordpiece_encode": wordpiece_encode, "wordpiece_pair": wordpiece_pair, "wordpiece_decode": wordpiece_decode,
     **{f"vec_{n}": _elementwise(n) for n in ("l2_normalize", "softmax", "layer_norm", "relu", "gelu", "sigmoid", "tanh")},
     "vec_add_scale": vec_add_scale, "vec_mean_pool_by_label": vec_mean_pool_by_label, "matmul_gram": matmul_gram, "embedding_lookup": embedding_lookup,
-    "position_ids": position_ids, "pad_ids": pad_ids, "sparse_weights": sparse_weights, "late_interaction": late_interaction,
+    "position_ids": position_ids, "pad_ids": pad_ids, "wordpiece_offsets": wordpiece_offsets, "attention": attention, "sinusoidal_positions": sinusoidal_positions, "viterbi_tags": viterbi_tags,
+    "sparse_weights": sparse_weights, "late_interaction": late_interaction,
 }
 SQL = {
     "chunk_markdown": f"""WITH {_CUR}, s AS (SELECT slug, list_filter(list_transform({_SECTIONS}, lambda y: {_TRIMMED}), lambda y: y <> '') AS b FROM live WHERE compiled_truth IS NOT NULL)
@@ -215,4 +240,11 @@ SELECT row, CAST(id AS INTEGER) AS id, CAST(max(weight) AS DOUBLE) AS weight FRO
 q AS (SELECT a.q, a.label, e.vec_id, e.e FROM a JOIN e ON e.vec_id BETWEEN a.q AND a.q + 2),
 b AS (SELECT q.q, q.vec_id, d.vec_id // 4 AS doc_id, max(array_cosine_similarity(q.e, d.e)) AS best FROM q JOIN e d ON d.label = q.label GROUP BY ALL)
 SELECT q AS query_id, doc_id, round(sum(best), 5) AS score FROM b GROUP BY ALL""",
+    "attention": f"""WITH e AS (SELECT vec_id // 8 AS row, vec_id % 8 AS pos, {_E} AS e FROM embeddings),
+s AS (SELECT q.row AS row, q.pos AS pos, k.e AS v, list_dot_product(q.e, k.e) / 8 AS s FROM e q JOIN e k ON q.row = k.row AND k.pos < 6),
+w AS (SELECT row, pos, v, exp(s - max(s) OVER (PARTITION BY row, pos)) AS w FROM s),
+n AS (SELECT row, pos, v, w / sum(w) OVER (PARTITION BY row, pos) AS w FROM w)
+SELECT row, pos, CAST(i AS INTEGER) AS at, round(sum(w * v[i + 1]), 5) + 0 AS value FROM (SELECT *, unnest(range(64)) AS i FROM n) GROUP BY row, pos, i""",
+    "sinusoidal_positions": """SELECT vec_id, CAST(i AS INTEGER) AS pos, round(CASE WHEN i % 2 = 0 THEN sin(a) ELSE cos(a) END, 6) AS value
+FROM (SELECT vec_id, i, vec_id / pow(10000, (i - i % 2) / 16) AS a FROM embeddings, (SELECT unnest(range(16)) AS i))""",
 }

@@ -66,3 +66,14 @@ def test_wordpiece_pair_and_decode(spark):
     row = pair.select("i", "p.ids", "p.type_ids").first()
     assert (row.ids, row.type_ids) == ([2, 5, 5, 3, 6, 7, 3], [0, 0, 0, 0, 1, 1, 1])
     assert wordpiece.decoded(pair.select("i", F.col("p.ids").alias("ids")), "i", "ids", model).first().text == "a a bc"
+
+
+def test_wordpiece_offsets_are_bytes_of_the_original(spark):
+    vocabulary = (*wordpiece.SPECIAL, "hello", "world", "un", "##afford", "##able", ",", "!")
+    model = wordpiece.WordPiece(vocabulary)
+    text_ = "Héllo, 世 Unaffordable\0!"
+    (pieces,) = column(spark, [text_], lambda x: wordpiece.encoding(x, model))
+    raw = text_.encode()
+    assert [raw[p.begin : p.end].decode() for p in pieces[1:-1]] == ["Héllo", ",", "世", "Un", "afford", "able", "!"]
+    assert (pieces[0].begin, pieces[-1].end) == (0, 0)
+    assert [p.id for p in pieces] == column(spark, [text_], lambda x: wordpiece.encoded(x, model))[0]
