@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -13,6 +14,12 @@ from pyspark.sql import types as T
 SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 
 
+#: Different words that a task remembers.
+REMEMBERED = 1 << 18
+#: White space that stays when a text is cleaned, and any.
+_BLANK, _SPACE = re.compile("[\t\n\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile(r"\s+")
+
+
 class VocabularyError(ValueError):
     """A vocabulary that can't be used, or an id outside it."""
 
@@ -105,12 +112,14 @@ class WordPiece:
         return [(self.ids["[CLS]"], 0, 0), *found[: max(self.max_length - 2, 0)], (self.ids["[SEP]"], 0, 0)]
 
     def encode(self, text: str, memory: dict[str, list[int]]) -> list[int]:
-        """Ids between [CLS] and [SEP], cut to max_length."""
+        """Ids between [CLS] and [SEP], cut to max_length. White space separates, so what stands between is encoded once and remembered."""
         ids: list[int] = []
-        for word in self.words(self.normalize(text)):
-            if word not in memory:
-                memory[word] = self.pieces(word)
-            ids += memory[word]
+        for part in (_BLANK if self.clean else _SPACE).split(text):
+            if part not in memory:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[part] = [i for word in self.words(self.normalize(part)) for i in self.pieces(word)]
+            ids += memory[part]
         return [self.ids["[CLS]"], *ids[: max(self.max_length - 2, 0)], self.ids["[SEP]"]]
 
 
@@ -133,7 +142,16 @@ def character_vocabulary() -> tuple[str, ...]:
 def normalized(text: Column, model: WordPiece) -> Column:
     @F.pandas_udf(T.StringType())
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda x: None if x is None else model.normalize(x))
+        memory: dict[str, str] = {}
+
+        def part(m: re.Match) -> str:
+            if m[0] not in memory:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[m[0]] = model.normalize(m[0])
+            return memory[m[0]]
+
+        return rows.map(lambda x: None if x is None else re.sub(r"\S+|\s", part, x))
 
     return run(text)
 

@@ -77,3 +77,11 @@ def test_wordpiece_offsets_are_bytes_of_the_original(spark):
     assert [raw[p.begin : p.end].decode() for p in pieces[1:-1]] == ["Héllo", ",", "世", "Un", "afford", "able", "!"]
     assert (pieces[0].begin, pieces[-1].end) == (0, 0)
     assert [p.id for p in pieces] == column(spark, [text_], lambda x: wordpiece.encoded(x, model))[0]
+
+
+def test_wordpiece_by_parts_is_that_of_the_whole_text(spark):
+    model = wordpiece.WordPiece(wordpiece.character_vocabulary(), max_length=10**6)
+    texts = ["A\x0bb c\x1cd\xa0É x y [CLS]z\t\n q[MASK]", "世界á ́b", "", "\x85 \0"]
+    whole = [[2, *(i for w in model.words(model.normalize(t)) for i in model.pieces(w)), 3] for t in texts]
+    assert column(spark, texts, lambda x: wordpiece.encoded(x, model)) == whole
+    assert column(spark, texts, lambda x: wordpiece.normalized(x, model)) == [model.normalize(t) for t in texts]
