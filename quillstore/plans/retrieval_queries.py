@@ -74,8 +74,8 @@ def bm25_search(spark, base):
 
 
 def postings(spark, base):
-    docs = read_table(spark, base, "documents").select("doc_id", "title")
-    return retrieval.postings(docs, "doc_id", ["title"]).select("field", "doc_id", "length", "term", "tf")
+    docs = read_table(spark, base, "documents").select("doc_id", "title", "text")
+    return retrieval.postings(docs, "doc_id", ["title", "text"]).select("field", "doc_id", "length", "term", "tf")
 
 
 def sanitize_query(spark, base):
@@ -123,6 +123,11 @@ s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0
 SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
 
 
+def _postings_sql(field: str) -> str:
+    tokens = f"list_filter(regexp_extract_all(lower({field}), '[a-z0-9]+'), lambda t: length(t) <= 40)"
+    return f"SELECT '{field}' AS field, doc_id, len AS length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM (SELECT doc_id, {tokens} AS t FROM documents)) GROUP BY ALL"
+
+
 def _intent_sql() -> str:
     q = _LOW.format("concat_ws(' ', title, text)")
     has = lambda *w: " OR ".join(f"contains({q}, '{x}')" for x in w)
@@ -150,7 +155,7 @@ SELECT query_id, slug, round(score, 9) AS score, CAST(row_number() OVER (PARTITI
     "strategy_vector_only": _fused("SELECT * FROM ve"),
     "search_without_embedder": _fused("SELECT * FROM kw"),
     "bm25_search": _bm25_sql(),
-    "postings": "SELECT 'title' AS field, doc_id, len AS length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) <= 40) AS t FROM documents)) GROUP BY ALL",
+    "postings": " UNION ALL ".join(_postings_sql(f) for f in ("title", "text")),
     "sanitize_query": "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_''\\- ]+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS clean FROM documents WHERE text IS NOT NULL",
     "intent_classify": _intent_sql(),
     "page_snippets": f"WITH {_CUR} SELECT slug, {_TRIM.format('substring(compiled_truth, 1, 200)')} AS snippet FROM live",

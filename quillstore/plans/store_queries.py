@@ -157,6 +157,12 @@ def memo_last_wins(spark, base):
     return store.last_per_key(puts, ["content_fp"], ["created_at", "payload"]).select(F.hex("content_fp").alias("fp"), "payload")
 
 
+def source_versions(spark, base):
+    """The last version of each source: its time of change and its fingerprint."""
+    puts = read_table(spark, base, "pages").where("slug is not null").select("slug", "updated_at", "content_fp", "created_at", "id")
+    return store.last_per_key(puts, ["slug"], ["created_at", "id"]).select("slug", F.unix_micros("updated_at").alias("mtime_us"), F.hex("content_fp").alias("fp"))
+
+
 def stale_fingerprints(spark, base):
     pages = read_table(spark, base, "pages").dropDuplicates(["id"]).select("id", "content_fp", "compiled_truth")
     return pages.withColumn("fp", fingerprint(F.col("compiled_truth"))).where(~F.col("content_fp").eqNullSafe(F.col("fp"))).select("id", F.hex("fp").alias("fp"), uuid_of(F.col("fp")).alias("uuid"))
@@ -194,7 +200,7 @@ QUERIES = {
     "backlinks_current": backlinks_current, "backlinks_all": backlinks_all, "extract_links": extract_links, "page_links": page_links,
     "bfs_backlinks": bfs_backlinks, "backlink_hop_limit": backlink_hop_limit, "graph_rerank": graph_rerank,
     "triples_by_subject": triples_by_subject, "triples_by_object": triples_by_object, "triples_current": triples_current, "triples_closed": triples_closed,
-    "triple_nodes": triple_nodes, "skip_gate": skip_gate, "memo_last_wins": memo_last_wins, "stale_fingerprints": stale_fingerprints,
+    "triple_nodes": triple_nodes, "skip_gate": skip_gate, "memo_last_wins": memo_last_wins, "source_versions": source_versions, "stale_fingerprints": stale_fingerprints,
 }
 
 _MOST = "SELECT {0} FROM triples WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY count(DISTINCT id) DESC, {0} LIMIT 1"
@@ -238,5 +244,6 @@ SELECT node, CASE WHEN max(s) + max(o) = 2 THEN 'both' WHEN max(s) = 1 THEN 'sub
     "skip_gate": """WITH p AS (SELECT DISTINCT id, slug, hex(content_fp) AS fp, created_at FROM pages WHERE slug IS NOT NULL AND content_fp IS NOT NULL),
 c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY slug ORDER BY created_at DESC NULLS LAST, id DESC) = 1)
 SELECT slug, fp FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.slug = c.slug AND p.fp = c.fp AND p.id <> c.id)""",
+    "source_versions": f"WITH {_CUR} SELECT slug, epoch_us(updated_at) AS mtime_us, hex(content_fp) AS fp FROM cur",
     "memo_last_wins": "SELECT fp, payload FROM (SELECT DISTINCT hex(content_fp) AS fp, id AS payload, created_at FROM pages WHERE content_fp IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY created_at DESC NULLS LAST, payload DESC) = 1",
 }
