@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstore.llm.shingles import set_hashes, shingle_sets
+from quillstore.llm.shingles import set_hashes, shingle_sets, slices
 from quillstore.sources.tables import materialize
 
 #: Counters of one byte each, sent to every task; and how many of them travel as one row.
@@ -48,12 +48,12 @@ def _scan(k: int, least: int):
     """Rows (id, fp, n, null) of the texts, and rows (null, block, null, counters) of the shingles in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        counters = np.zeros(BUCKETS, np.int32)
+        for batch in slices(batches, 1):
             hashes, offsets = shingle_sets(batch.column(1).to_pylist(), k)
             sizes = np.diff(offsets)
             keep = np.flatnonzero(sizes >= least)
-            counters += np.bincount(_bucket(hashes), minlength=BUCKETS)
+            np.add.at(counters, _bucket(hashes), 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep)), pa.array(set_hashes(hashes, offsets)[keep].view(np.int64)), pa.array(sizes[keep].astype(np.int32)), pa.nulls(len(keep), pa.binary())],
                 ["id", "fp", "n", "counters"],
@@ -83,7 +83,7 @@ def _short_lists(k: int, least: int, threshold: float, counts):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, told = counts.value, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in slices(batches, 0):
             hashes, offsets = shingle_sets(batch.column(0).to_pylist(), k)
             sizes = np.diff(offsets)
             fps = set_hashes(hashes, offsets)
@@ -114,11 +114,22 @@ def _in_bitmap(words: np.ndarray):
     return run
 
 
+def _of_class(k: int):
+    """Rows (class_id, text) of which the text has the class's set; an id may have other texts too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            right = set_hashes(*shingle_sets(batch.column(1).to_pylist(), k)).view(np.int64) == batch.column(0).to_numpy()
+            yield batch.filter(pa.array(right))
+
+    return run
+
+
 def _probe(k: int):
     """(fp_a, fp_b, shared, similarity): binary probes of a's shingles in b's sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             (av, ao), (bv, bo) = (shingle_sets(batch.column(c).to_pylist(), k) for c in (2, 3))
             shared = np.zeros(len(batch), np.int64)
             for i in range(len(batch)):
@@ -137,7 +148,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     members: id (as string), class_id, n: each id whose text has at least `least` shingles. Texts with equal sets have
     one class_id, a hash of the set in 64 bits. pairs: class_a < class_b, shared, similarity: every pair of classes that
     is similar enough, none left out. Texts that are null or too short are in neither; a repeated id with the same
-    text counts once, and a null id is left out. Other columns are ignored.
+    text counts once, one with several texts is a member of several classes, and a null id is left out. Other columns
+    are ignored; an empty table gives empty results.
     """
     least = max(least, 1)
     context = df.sparkSession.sparkContext
@@ -165,10 +177,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     bitmap = np.zeros(BITMAP_WORDS, np.uint64)
     bitmap[bits.column(0).to_numpy()] = bits.column(1).to_numpy().view(np.uint64)
     likely = rows.withColumn("code", F.xxhash64("id")).mapInArrow(_in_bitmap(context.broadcast(bitmap)), "id string, text string")
-    texts = materialize(likely.join(chosen, "id").dropDuplicates(["class_id"]).select(F.col("class_id"), "text"), "texts")
+    texts = materialize(likely.join(chosen, "id").select("class_id", "text").mapInArrow(_of_class(words), "class_id bigint, text string").dropDuplicates(["class_id"]), "texts")
     both = candidates.join(texts.select(F.col("class_id").alias("fp_a"), F.col("text").alias("a")), "fp_a").join(texts.select(F.col("class_id").alias("fp_b"), F.col("text").alias("b")), "fp_b")
     pairs = both.select("fp_a", "fp_b", "a", "b").mapInArrow(_probe(words), "fp_a bigint, fp_b bigint, shared bigint, similarity double").where(F.col("similarity") >= threshold)
-    return members.dropDuplicates(["id"]), pairs.select(F.col("fp_a").alias("class_a"), F.col("fp_b").alias("class_b"), "shared", "similarity")
+    return members.distinct(), pairs.select(F.col("fp_a").alias("class_a"), F.col("fp_b").alias("class_b"), "shared", "similarity")
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -178,4 +190,4 @@ def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     copies = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class_id")
     again = members.join(copies, "class_id")
     within = again.alias("x").join(again.alias("y"), "class_id").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-    return across.unionByName(within)
+    return across.where("id_a < id_b").unionByName(within).distinct()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed at once; bounds the memory of a task.
 PIECE = 1 << 20
@@ -44,6 +46,18 @@ def _pieces(codes: np.ndarray) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in batches with about `size` bytes of text in a column (one text may be longer); bounds the memory of a task."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        begin = 0
+        while begin < len(batch):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every word, in order. A null text has no words."""
     lowered = [(t or "").lower() for t in texts]

@@ -1,9 +1,10 @@
 """The k most similar vectors of every vector, by a forest of sorted hash strings.
 
 Each tree gives a vector a string of 64 bits: on which side of 64 orthogonal planes, turned at random, it lies. A tree
-is the sorted array of these strings. Vectors with long common prefixes stand side by side; the forest descends from
-short prefixes to the longest ones that still hold many vectors (a leaf has at most LEAF), and compares all
-vectors of a leaf with each other. What one tree separates, another keeps together.
+is the sorted array of these strings. Vectors with long common prefixes stand side by side, so all vectors descend to
+their longest matches at once; from there each tree ascends, to shorter and shorter prefixes, as long as a prefix holds at
+most LEAF vectors. Such a leaf has the candidates of all its vectors, which are compared with each other. What one
+tree separates, another keeps together.
 
 A tree's array is cut into stretches for the tasks at strings taken from a sample of SAMPLE vectors; every vector is
 put into every tree. In a leaf, vectors are compared in a rounded form (a byte per number), and the pairs that may be
@@ -147,7 +148,10 @@ def _exact(dim: int):
 
 def usable_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int) -> DataFrame:
     """id (as string), embedding of the rows whose embedding has exactly `dim` elements, all finite and not all zero."""
-    rows = df.select(df[id_col].cast("string").alias("id"), df[embedding_col].cast("array<float>").alias("embedding")).where("id is not null")
+    given = df[embedding_col]
+    if df.schema[embedding_col].dataType.simpleString() not in ("array<float>", "array<double>"):
+        given = given.cast("array<double>")
+    rows = df.select(df[id_col].cast("string").alias("id"), given.alias("embedding")).where("id is not null")
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))
     return rows.where((F.size("embedding") == dim) & finite & F.exists("embedding", lambda x: x != 0))
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from quillstore.llm.near_duplicates import expand_pairs, near_duplicates
-from quillstore.llm.shingles import shingle_sets, word_hashes
+from quillstore.llm.shingles import shingle_sets, slices, word_hashes
 
 SCHEMA = "id string, body string, class_id string, n int, text string, fp string"
 
@@ -69,3 +70,17 @@ def test_words_are_runs_of_lower_cased_letters_and_digits():
     assert [int((rows == i).sum()) for i in range(4)] == [len(re.findall("[a-z0-9]+", (t or "").lower())) for t in texts]
     assert hashes[-1] == word_hashes(["b"])[0][0]
     assert shingle_sets(texts, 3)[1].tolist() == [0, *[len(s) for s in [sets({0: texts[0]}, 3)[0]]] * 4]
+
+
+def test_slices_hold_all_rows_in_order():
+    texts = ["a" * n for n in (5, 0, 30, 1, 1, 1, 200)] + [None, "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["n", "t"]).slice(1)
+    parts = list(slices(iter([batch, batch.slice(0, 0)]), 1, 20))
+    assert [v for p in parts for v in p.column(0).to_pylist()] == list(range(1, len(texts)))
+    assert all(len(p) == 1 or sum(len(t or "") for t in p.column(1).to_pylist()) <= 20 for p in parts)
+
+
+def test_an_id_with_several_texts_is_in_several_classes(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [("x", one), ("x", two), ("y", one + " z"), ("z", two + " z"), ("x", one + " w")]
+    assert found(spark, rows, words=3, threshold=0.6, least=10) == {("x", "y"), ("x", "z")}
