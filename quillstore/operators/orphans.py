@@ -37,7 +37,8 @@ def orphan_references(references: DataFrame, records: DataFrame, n_ranges: int =
     """src_table, row_id, ref_field, reason, period of each reference without a living record.
 
     references: src_table, row_id, ref_field, ns (which kind of key), key, t_us. A null key or time is no reference;
-    an empty string is one. A reference told more than once counts once per src_table, row_id and ref_field.
+    an empty string is one. A reference told more than once counts once per src_table, row_id and ref_field, by its
+    earliest month.
     records: ns, key, from_us, to_us: a record lives from from_us (included) to to_us (excluded; null: for ever); one
     without from_us never lives, yet exists. A null key is no record.
     reason is `missing` (no record has the key), `late` (all were created after the time) or `deleted`; period is the
@@ -76,8 +77,9 @@ def orphan_references(references: DataFrame, records: DataFrame, n_ranges: int =
     return (
         refs.join(suspects, ["ns", "key", "m"])
         .where(~F.coalesce(F.exists("lives", lambda x: (x.from_us <= t) & (t < x.to_us)), F.lit(False)))
-        .select("src_table", "row_id", "ref_field", reason.alias("reason"), month_label(F.col("m")).alias("period"))
-        .dropDuplicates(["src_table", "row_id", "ref_field"])
+        .groupBy("src_table", "row_id", "ref_field")
+        .agg(F.min(F.struct(F.col("m").alias("m"), reason.alias("reason"))).alias("case"))
+        .select("src_table", "row_id", "ref_field", "case.reason", month_label(F.col("case.m")).alias("period"))
     )
 
 
