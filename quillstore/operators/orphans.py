@@ -9,14 +9,22 @@ months are then compared with the records' exact times.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstore.functions.times import OPEN_US, month_label, month_of
+from quillstore.functions.times import DAY_US, OPEN_US, month_label, month_of, month_start
 from quillstore.operators.intervals import interval_islands
 from quillstore.sources.tables import materialize
 
 
+#: Lives of one key within a month that a reference is compared with directly; of more, only those in its slot of the month.
+FEW_LIVES, SLOT_US = 256, 31 * DAY_US // 1024
+
+
+def _slot(us: Column, month: Column) -> Column:
+    return F.floor((us - month_start(month)) / F.lit(SLOT_US)).cast("int")
+
+
 def key_dictionary(references: DataFrame, n_ranges: int = 4096) -> DataFrame:
     """ns, key, range, code, months of each referenced key; `code` counts from 0 within (ns, range).
 
@@ -69,13 +77,19 @@ def orphan_references(references: DataFrame, records: DataFrame, n_ranges: int =
 
     # Only islands that begin or end within the month can cover a part of it.
     ends = F.array_distinct(F.array(month_of(F.col("from_us")), F.when(F.col("to_us") < OPEN_US, month_of(F.col("to_us"))).otherwise(month_of(F.col("from_us")))))
-    partly = islands.select("ns", "key", F.struct("from_us", "to_us").alias("life"), F.explode(ends).alias("m")).groupBy("ns", "key", "m").agg(F.collect_list("life").alias("lives"))
+    partly = islands.select("ns", "key", "from_us", "to_us", F.explode(ends).alias("m")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ns", "key", "m")))
+    first, last = F.greatest("from_us", month_start(F.col("m"))), F.least(F.col("to_us"), month_start(F.col("m") + 1)) - 1
+    slots = F.when(F.col("n") > FEW_LIVES, F.sequence(_slot(first, F.col("m")), _slot(last, F.col("m")))).otherwise(F.array(F.lit(-1)))
+    lives_at = partly.select("ns", "key", "m", F.struct("from_us", "to_us").alias("life"), F.explode(slots).alias("slot")).groupBy("ns", "key", "m", "slot").agg(F.collect_list("life").alias("lives"))
+    many = partly.where(F.col("n") > FEW_LIVES).select("ns", "key", "m", F.lit(True).alias("many")).distinct()
     existing = lives.groupBy("ns", "key").agg(F.min("from_us").alias("first_us"), F.lit(True).alias("exists"))
-    suspects = survivors.join(existing, ["ns", "key"], "left").join(partly, ["ns", "key", "m"], "left")
+    suspects = survivors.join(existing, ["ns", "key"], "left").join(many, ["ns", "key", "m"], "left")
     t = F.col("t_us")
     reason = F.when(F.col("exists").isNull(), "missing").when(F.col("first_us") > t, "late").otherwise("deleted")
     return (
         refs.join(suspects, ["ns", "key", "m"])
+        .withColumn("slot", F.when(F.col("many"), _slot(t, F.col("m"))).otherwise(-1))
+        .join(lives_at, ["ns", "key", "m", "slot"], "left")
         .where(~F.coalesce(F.exists("lives", lambda x: (x.from_us <= t) & (t < x.to_us)), F.lit(False)))
         .groupBy("src_table", "row_id", "ref_field")
         .agg(F.min(F.struct(F.col("m").alias("m"), reason.alias("reason"))).alias("case"))

@@ -42,6 +42,14 @@ def test_bounds_of_a_life(spark):
     assert found(spark, refs, records) == brute(refs, records)
 
 
+def test_many_lives_of_a_key_in_a_month(spark):
+    rng = random.Random(9)
+    records = [("slug", "a", s, s + rng.randrange(1, 10**9)) for s in (rng.randrange(0, 2 * MONTH) for _ in range(900))] + [("slug", "b", 5, None)]
+    edges = [t + d for _, k, a, z in records[:200] for t in (a, z or a) for d in (-1, 0)]
+    refs = [("t", str(i), "f", "slug", rng.choice("ab"), t) for i, t in enumerate([*edges, *(rng.randrange(-MONTH, 3 * MONTH) for _ in range(1000))])]
+    assert found(spark, refs, records) == brute(refs, records)
+
+
 def test_hot_key_and_report(spark):
     refs = [("t", str(i), "f", "slug", "hot", i) for i in range(3000)] + [("t", "z", "f", "slug", "cold", 5)]
     out = orphan_references(spark.createDataFrame([(*r, "x") for r in refs], REFS), spark.createDataFrame([("slug", "hot", 1000, None, "")], RECORDS))
