@@ -191,3 +191,12 @@ def expand_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     again = members.join(copies, "class_id")
     within = again.alias("x").join(again.alias("y"), "class_id").where("x.id < y.id").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     return across.where("id_a < id_b").unionByName(within).distinct()
+
+
+def linked_members(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, class_id, n_links of every member: with how many other ids its text is similar, counted by class, without a row for each pair."""
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.select(F.inline(F.array(F.struct(F.col("class_a").alias("class_id"), F.col("class_b").alias("other")), F.struct(F.col("class_b").alias("class_id"), F.col("class_a").alias("other")))))
+    near = both.join(sizes.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("copies").alias("near"))
+    links = sizes.join(near, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return members.join(links, "class_id").select("id", "class_id", "n_links")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstore.llm.bpe import encode_corpus
 from quillstore.llm.leakage import leaked_documents, leaked_items
-from quillstore.llm.near_duplicates import expand_pairs, near_duplicates
+from quillstore.llm.near_duplicates import expand_pairs, linked_members, near_duplicates
 from quillstore.llm.reading_level import level_profile, reading_levels
 from quillstore.llm.similar_vectors import neighbour_pairs, similar_vectors
 from quillstore.llm.splitting import split_oversized
@@ -24,6 +24,11 @@ def p2_found(spark: SparkSession, base: str) -> DataFrame:
     return expand_pairs(members, pairs).select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
+def p2_documents(spark: SparkSession, base: str) -> DataFrame:
+    """How many other documents each one is similar to, at five words and 0.8."""
+    return linked_members(*near_duplicates(read_table(spark, base, "documents"), "doc_id", "text")).select(F.col("id").cast("bigint").alias("doc_id"), "n_links")
+
+
 def p4_pieces(spark: SparkSession, base: str) -> DataFrame:
     def of(table: str, text: str, limit: int) -> DataFrame:
         return split_oversized(read_table(spark, base, table), "id", text, limit, 200).withColumn("src_table", F.lit(table)).withColumn("limit", F.lit(limit))
@@ -74,6 +79,14 @@ p AS (SELECT a.id AS chunk_a, b.id AS chunk_b, a.n + b.n AS n, count(*) AS o FRO
 SELECT chunk_a, chunk_b FROM p WHERE o / (n - o) >= 0.6
 """
 
+P2_DOCUMENTS_SQL = """
+WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(any_value(text)), '[a-z0-9]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY doc_id),
+s AS (SELECT id, list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) AS s FROM w WHERE len(w) >= 5),
+e AS (SELECT id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS n, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.id <> b.id GROUP BY ALL)
+SELECT s.id AS doc_id, count(p.b) AS n_links FROM s LEFT JOIN p ON p.a = s.id AND o / (n - o) >= 0.8 GROUP BY s.id
+"""
+
 P4_SQL = r"""
 WITH t AS (SELECT DISTINCT 'pages' AS src_table, id AS item_id, compiled_truth AS x, 5000 AS n FROM pages UNION SELECT 'chunks', id, body, 2000 FROM chunks)
 SELECT DISTINCT src_table, item_id, CASE WHEN list_max(list_transform(regexp_split_to_array(x, '[ \t\r\n]+'), lambda y: length(y))) > n THEN 'forced' ELSE 'natural' END AS cut
@@ -99,9 +112,10 @@ dp AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (n, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p2_found": p2_found, "p2_documents": p2_documents, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents, "p8_found": p8_found, "p8_profile": p8_profile}
 SQL = {
     "p2_found": P2_SQL,
+    "p2_documents": P2_DOCUMENTS_SQL,
     "p4_found": P4_SQL,
     "p5_found": P5_SQL,
     "p7_found": P7_SQL,

@@ -6,7 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from quillstore.llm.near_duplicates import expand_pairs, near_duplicates
+from quillstore.llm.near_duplicates import expand_pairs, linked_members, near_duplicates
 from quillstore.llm.shingles import shingle_sets, slices, word_hashes
 
 SCHEMA = "id string, body string, class_id string, n int, text string, fp string"
@@ -62,6 +62,7 @@ def test_hot_group_of_copies_is_one_class(spark):
     members, pairs = near_duplicates(df, "id", "body", words=3, threshold=0.6, least=10)
     assert members.count() == 2001 and members.select("class_id").distinct().count() == 2
     assert pairs.count() == 1
+    assert {r.n_links for r in linked_members(members, pairs).collect()} == {2000}
 
 
 def test_words_are_runs_of_lower_cased_letters_and_digits():
