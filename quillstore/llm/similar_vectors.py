@@ -7,8 +7,10 @@ most LEAF vectors. Such a leaf has the candidates of all its vectors, which are
 tree separates, another keeps together.
 
 A tree's array is cut into stretches for the tasks at strings taken from a sample of SAMPLE vectors; every vector is
-put into every tree. In a leaf, vectors are compared in a rounded form (a byte per number), and the pairs that may be
-among the k best are compared exactly afterwards.
+put into every tree. In a leaf, vectors are compared in a rounded form (a byte per number). By how much the rounding may
+have changed a cosine is known for each vector, and all pairs that may be among the k best are compared exactly
+afterwards. Where more than KEEP others may be among a vector's k best (tight clusters, one direction in many lengths),
+it and they go through the trees a second time, with their unrounded numbers, and each leaf gives the k best exactly.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from quillstore.sources.tables import materialize
 TREES, LEAF, SAMPLE = 16, 2048, 20_000
 #: Vectors in a stretch, about, and those that a task holds at most at a time.
 STRETCH, HELD = 1 << 15, 1 << 17
-#: By how much a cosine of rounded vectors may be too low, and how many more than k of a leaf are kept for it.
-MARGIN, EXTRA = 0.005, 3
+#: Candidates of a vector in a leaf above which they are compared there, unrounded, instead of pair by pair afterwards.
+KEEP = 32
+#: What float32 adds to the rounding of cosines; vectors of one direction are equal in unit coordinates of this grid,
+#: which is so fine that all their cosines are 1 to 9 decimals (in up to 500 dimensions).
+FLOAT_ERROR, GRID = 1e-5, 1 << 20
 
 
 def _planes(tree: int, dim: int) -> np.ndarray:
@@ -46,22 +51,33 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _plant(dim: int, trees: int, cuts):
-    """(stretch, string, vid, code) of each vector and tree."""
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    rows = np.ascontiguousarray(rows)
+    kind = pa.binary(rows.nbytes // max(len(rows), 1))
+    return pa.FixedSizeBinaryArray.from_buffers(kind, len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def _plant(dim: int, trees: int, cuts, rounded: bool):
+    """(stretch, string) of each vector and tree, with (vid, code, error) if rounded, else all columns given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            unit = _unit(batch.column(1), dim).astype(np.float32)
-            codes = np.round(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
-            flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim), len(batch), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+            exact = _unit(batch.column("embedding"), dim)
+            unit = exact.astype(np.float32)
+            names, columns = batch.schema.names, batch.columns
+            if rounded:
+                codes = np.round(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
+                error = np.linalg.norm(exact - codes / np.linalg.norm(codes.astype(np.float64), axis=1, keepdims=True), axis=1) + FLOAT_ERROR
+                names, columns = ["vid", "code", "error"], [batch.column("vid"), _fixed(codes), pa.array(error.astype(np.float32))]
             for tree in range(trees):
                 strings = _strings(unit, tree)
                 at = tree * (cuts.value.shape[1] + 1) + np.searchsorted(cuts.value[tree], strings, side="right")
                 # Spark sorts signed numbers, so the highest bit is turned.
                 signed = (strings ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(signed), batch.column(0), flat], ["stretch", "string", "vid", "code"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(signed), *columns], ["stretch", "string", *names])
 
     return run
 
@@ -83,53 +99,91 @@ def _leaves(strings: np.ndarray, leaf: int) -> Iterator[tuple[int, int]]:
             stack += [(begin, middle, depth + 1), (middle, end, depth + 1)]
 
 
-def _compare(vids: np.ndarray, unit: np.ndarray, least: float, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, cosine) with a < b: for each vector of a leaf, its `keep` best others with a cosine of at least `least`."""
+def _compare(unit: np.ndarray, error: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine, error) of the pairs i < j of a leaf that may be among the k best of either, and the vectors to be compared unrounded."""
+    keep = max(KEEP, k)
     s = unit @ unit.T
-    np.fill_diagonal(s, -2)
-    hit = s >= least
+    np.fill_diagonal(s, -4)
+    hit = s >= least - 2 * error.max()
+    crowd = np.zeros(len(s), bool)
     many = np.flatnonzero(hit.sum(1) > keep)
-    best = np.zeros_like(hit)
     if len(many):
-        top = np.argpartition(-s[many], keep - 1, axis=1)[:, :keep]
-        best[np.repeat(many, keep), top.ravel()] = True
-        hit[many] = False
-    best |= hit
+        both = error[many, None] + error
+        kth = -np.partition(both - s[many], k - 1, axis=1)[:, k - 1]
+        high = s[many] + both
+        maybe = (high >= kth[:, None]) & (high >= least)
+        dense = maybe.sum(1) > keep
+        crowd[many[dense]] = True
+        crowd |= maybe[dense].any(0)
+        maybe[dense] = False
+        hit[many] = maybe
+    i, j = np.nonzero(np.triu(hit | hit.T, 1))
+    both = error[i] + error[j]
+    stay = s[i, j] + both >= least
+    return i[stay], j[stay], s[i, j][stay], both[stay], np.flatnonzero(crowd)
+
+
+def _best(unit: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) with i < j of the k best others of each vector of a leaf; ties go to the one that stands first."""
+    s = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(s, -4)
+    k = min(k, len(s) - 1)
+    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    best = s > kth
+    tied = s == kth
+    best |= tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - best.sum(1, keepdims=True))
+    best &= s >= least
     i, j = np.nonzero(np.triu(best | best.T, 1))
-    return np.minimum(vids[i], vids[j]), np.maximum(vids[i], vids[j]), s[i, j]
+    return i, j, s[i, j]
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
 
 
-def _search(dim: int, leaf: int, least: float, keep: int):
-    """(a, b, near) of the pairs in the leaves of sorted stretches."""
+def _search(dim: int, leaf: int, rounded: bool, least: float, k: int):
+    """The pairs in the leaves of sorted stretches: (a, b, near, error), with a row (a, null, null, null) for each vector to be compared unrounded; or (a, b, cosine)."""
 
-    def pairs(strings: np.ndarray, vids: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+    def rounded_pairs(strings: np.ndarray, vids: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[pa.RecordBatch]:
         for begin, end in _leaves(strings, leaf):
-            x = codes[begin:end].astype(np.float32)
-            found.append(_compare(vids[begin:end], x / np.linalg.norm(x, axis=1, keepdims=True), least, keep))
-        a, b, near = (np.concatenate(c) for c in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(near)], ["a", "b", "near"])
+            x, here = codes[begin:end].astype(np.float32), vids[begin:end]
+            i, j, near, both, crowd = _compare(x / np.linalg.norm(x, axis=1, keepdims=True), error[begin:end], least, k)
+            names, none = ["a", "b", "near", "error"], len(crowd)
+            yield pa.RecordBatch.from_arrays([*_ordered(here[i], here[j]), pa.array(near), pa.array(both)], names)
+            if none:
+                yield pa.RecordBatch.from_arrays([pa.array(here[crowd]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float32()), pa.nulls(none, pa.float32())], names)
+
+    def exact_pairs(strings: np.ndarray, vids: np.ndarray, places: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for begin, end in _leaves(strings, leaf):
+            at = begin + np.argsort(places[begin:end])
+            i, j, cosine = _best(unit[at], least, k)
+            yield pa.RecordBatch.from_arrays([*_ordered(vids[at[i]], vids[at[j]]), pa.array(cosine)], ["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         current, size = None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                strings, vids, codes = (np.concatenate(c) for c in zip(*held))
+                columns = [np.concatenate(c) for c in zip(*held)]
                 held.clear()
-                yield pairs(strings, vids, codes)
+                yield from (rounded_pairs if rounded else exact_pairs)(*columns)
 
         for batch in batches:
-            stretch = batch.column(0).to_numpy()
-            strings = batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-            codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int8).reshape(-1, dim)
+            if not len(batch):
+                continue
+            stretch = batch.column("stretch").to_numpy()
+            columns = [batch.column("string").to_numpy().view(np.uint64) ^ np.uint64(1 << 63), batch.column("vid").to_numpy()]
+            if rounded:
+                columns += [np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(-1, dim), batch.column("error").to_numpy()]
+            else:
+                columns += [batch.column("place").to_numpy(), _unit(batch.column("embedding"), dim)]
             begins = np.flatnonzero(np.diff(stretch, prepend=-1))
             for begin, end in zip(begins, np.append(begins[1:], len(stretch))):
                 if stretch[begin] != current or size + end - begin > HELD:
                     yield from flush()
                     current, size = stretch[begin], 0
-                held.append((strings[begin:end], batch.column(2).to_numpy()[begin:end], codes[begin:end]))
+                held.append(tuple(c[begin:end] for c in columns))
                 size += end - begin
         yield from flush()
 
@@ -146,6 +200,18 @@ def _exact(dim: int):
     return run
 
 
+def _directions(dim: int):
+    """(vid, grid): the unit vector on the grid, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                grid = np.round(_unit(batch.column("embedding"), dim) * GRID).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("vid"), _fixed(grid)], ["vid", "grid"])
+
+    return run
+
+
 def usable_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int) -> DataFrame:
     """id (as string), embedding of the rows whose embedding has exactly `dim` elements, all finite and not all zero."""
     given = df[embedding_col]
@@ -167,7 +233,8 @@ def similar_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int = 6
     """
     context = df.sparkSession.sparkContext
     rows = usable_vectors(df, id_col, embedding_col, dim).withColumn("vid", F.xxhash64("embedding"))
-    classes = materialize(rows.groupBy("vid").agg(F.first("embedding").alias("embedding")), "vectors")
+    classes = materialize(rows.groupBy("vid").agg(F.first("embedding").alias("embedding"), F.min("id").alias("first")), "vectors")
+    kind = classes.schema["embedding"].dataType.simpleString()
     total = classes.count()
     sample = classes.orderBy(F.xxhash64("vid")).limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
     stretches = max(1, min(-(-total // STRETCH), SAMPLE // 8))
@@ -176,23 +243,46 @@ def similar_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int = 6
         unit = _unit(sample, dim).astype(np.float32)
         at = np.arange(1, stretches) * len(unit) // stretches
         cuts = np.stack([np.sort(_strings(unit, tree))[at] for tree in range(trees)])
-    forest = classes.select("vid", "embedding").mapInArrow(_plant(dim, trees, context.broadcast(cuts)), "stretch int, string bigint, vid bigint, code binary")
-    forest = forest.repartition("stretch").sortWithinPartitions("stretch", "string", "vid")
-    near = forest.mapInArrow(_search(dim, leaf, least - MARGIN, k + EXTRA), "a bigint, b bigint, near float").groupBy("a", "b").agg(F.first("near").alias("near"))
-
-    both = F.inline(F.array(F.struct(F.col("a").alias("vid"), F.col("b").alias("other"), "near"), F.struct(F.col("b").alias("vid"), F.col("a").alias("other"), "near")))
-    best = near.select(both).withColumn("rank", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("near"), "other"))).where(F.col("rank") <= k + EXTRA)
-    chosen = best.select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct()
+    cuts = context.broadcast(cuts)
+
+    def forest(vectors: DataFrame, rounded: bool, columns: str, found: str) -> DataFrame:
+        planted = vectors.mapInArrow(_plant(dim, trees, cuts, rounded), f"stretch int, string bigint, {columns}")
+        return planted.repartition("stretch").sortWithinPartitions("stretch", "string", "vid").mapInArrow(_search(dim, leaf, rounded, least, k), found)
+
+    near = forest(classes.select("vid", "embedding"), True, "vid bigint, code binary, error float", "a bigint, b bigint, near float, error float")
+    near = materialize(near.groupBy("a", "b").agg(F.first("near").alias("near"), F.first("error").alias("error")), "near")
+    turned = lambda *c: F.inline(F.array(F.struct(F.col("a").alias("vid"), F.col("b").alias("other"), *c), F.struct(F.col("b").alias("vid"), F.col("a").alias("other"), *c)))
+    both = near.where("b is not null").select(turned("near", "error"))
+    lows = Window.partitionBy("vid").orderBy(F.desc(F.col("near") - F.col("error"))).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    kth = F.coalesce(F.nth_value(F.col("near") - F.col("error"), k).over(lows), F.lit(-4.0))
+    chosen = both.withColumn("kth", kth).where(F.col("near") + F.col("error") >= F.col("kth")).select(F.least("vid", "other").alias("a"), F.greatest("vid", "other").alias("b")).distinct()
     of = lambda x: classes.select(F.col("vid").alias(x), F.col("embedding").alias(f"embedding_{x}"))
     exact = chosen.join(of("a"), "a").join(of("b"), "b").select("a", "b", "embedding_a", "embedding_b").mapInArrow(_exact(dim), "a bigint, b bigint, cosine double").where(F.col("cosine") >= least)
 
+    crowd = near.where("b is null").select(F.col("a").alias("vid"))
+    crowded = not crowd.isEmpty()
+    if crowded:
+        # Their place in the order of their smallest ids decides ties.
+        crowd = classes.join(crowd, "vid", "left_semi").orderBy("first").select("vid", "embedding", F.monotonically_increasing_id().alias("place"))
+        crowd = materialize(crowd, "crowd")
+        again = forest(crowd, False, f"vid bigint, embedding {kind}, place bigint", "a bigint, b bigint, cosine double")
+        exact = exact.unionByName(again).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+
     # k + 1 ids of a class stand for all of them: any id's neighbours in a class are among its k + 1 smallest ids.
     members = rows.select("vid", "id").distinct()
-    first = members.withColumn("rank", F.row_number().over(Window.partitionBy("vid").orderBy("id"))).where(F.col("rank") <= k + 1).groupBy("vid").agg(F.collect_list("id").alias("ids"))
-    links = exact.select(F.inline(F.array(F.struct(F.col("a").alias("vid"), F.col("b").alias("other"), "cosine"), F.struct(F.col("b").alias("vid"), F.col("a").alias("other"), "cosine"))))
+    smallest = lambda df, key: df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("rank") <= k + 1).groupBy(key).agg(F.collect_list("id").alias("ids"))
+    first = smallest(members, "vid")
+    links = exact.select(turned("cosine"))
     itself = first.where(F.size("ids") > 1).select("vid", F.lit(1.0).alias("cosine"), F.explode("ids").alias("neighbour"))
     across = links.join(first.withColumnRenamed("vid", "other"), "other").select("vid", "cosine", F.explode("ids").alias("neighbour"))
-    ranked = across.unionByName(itself).withColumn("rank", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("rank") <= k + 1)
+    pairs = across.unionByName(itself)
+    if crowded:
+        # Vectors of one direction, however many, are met through the direction; their cosines are 1.
+        directions = crowd.mapInArrow(_directions(dim), "vid bigint, grid binary").select("vid", F.xxhash64("grid").alias("direction"))
+        alike = smallest(members.join(directions, "vid").select("direction", "id"), "direction")
+        alike = directions.join(alike, "direction").select("vid", F.lit(1.0).alias("cosine"), F.explode("ids").alias("neighbour"))
+        pairs = pairs.unionByName(alike).repartition("vid").groupBy("vid", "neighbour").agg(F.max("cosine").alias("cosine"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("rank") <= k + 1)
     lists = ranked.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "cosine"))).alias("list"))
     own = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("id")), 1, k)
     return members.join(lists, "vid").select("id", F.inline(own)).select("id", "neighbour", "cosine")

@@ -65,3 +65,19 @@ def test_unusable_vectors(spark):
     assert similar_vectors(frame(spark, []), "id", "embedding").count() == 0
     pairs = neighbour_pairs(similar_vectors(frame(spark, [*bad, ("a", good), ("b", good * 3)]), "id", "embedding"))
     assert [tuple(r) for r in pairs.collect()] == [("a", "b")]
+
+
+def test_one_direction_in_many_lengths(spark):
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=64)
+    rows = [(f"s{i:04}", a * x) for i, x in enumerate(rng.uniform(0.1, 10, 1000))] + [("t", a + rng.normal(size=64) * 0.05)]
+    got = {(r.id, r.neighbour) for r in similar_vectors(frame(spark, rows), "id", "embedding").where("id <> 't'").collect()}
+    assert got == {x for x in brute(rows, 5, 0.85) if x[0] != "t"}
+
+
+def test_a_tight_cluster_is_exact(spark):
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=64)
+    rows = [(f"v{i:03}", a + rng.normal(size=64) * 0.003) for i in range(300)]
+    got = {(r.id, r.neighbour) for r in similar_vectors(frame(spark, rows), "id", "embedding").collect()}
+    assert got == brute(rows, 5, 0.85)
