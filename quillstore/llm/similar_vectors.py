@@ -1,6 +1,9 @@
 """The k most similar vectors of every vector, by a forest of sorted hash strings.
 
-Each tree gives a vector a string of 64 bits: on which side of 64 orthogonal planes, turned at random, it lies. A tree
+Each tree gives a vector a string of 128 bits: on which side of 64 orthogonal planes, turned at random, it lies, and on
+which side of 64 further ones. Where a sample shows that more vectors than a leaf holds have the first 64 bits in common,
+the further planes of these go through their middle, so that a tight cluster is parted too, by each tree in its own way.
+Equal strings that still are too many for a leaf are halved along random directions, or, for tasks, dealt by a hash. A tree
 is the sorted array of these strings. Vectors with long common prefixes stand side by side, so all vectors descend to
 their longest matches at once; from there each tree ascends, to shorter and shorter prefixes, as long as a prefix holds at
 most LEAF vectors. Such a leaf has the candidates of all its vectors, which are compared with each other. What one
@@ -27,6 +30,8 @@ from quillstore.sources.tables import materialize
 TREES, LEAF, SAMPLE = 16, 2048, 20_000
 #: Vectors in a stretch, about, and those that a task holds at most at a time.
 STRETCH, HELD = 1 << 15, 1 << 17
+#: Vectors of the sample that tell the middle of those with equal first bits, at least.
+LEAST_SAMPLED = 8
 #: Candidates of a vector in a leaf above which they are compared there, unrounded, instead of pair by pair afterwards.
 KEEP = 32
 #: What float32 adds to the rounding of cosines; vectors of one direction are equal in unit coordinates of this grid,
@@ -34,15 +39,42 @@ KEEP = 32
 FLOAT_ERROR, GRID = 1e-5, 1 << 20
 
 
-def _planes(tree: int, dim: int) -> np.ndarray:
-    """64 planes of a tree, orthogonal as far as the dimension allows."""
-    rng = np.random.default_rng(1000 + tree)
+def _planes(seed: int, dim: int) -> np.ndarray:
+    """64 planes, orthogonal as far as the dimension allows."""
+    rng = np.random.default_rng(seed)
     parts = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-64 // dim))]
     return np.concatenate(parts, axis=1)[:, :64].astype(np.float32)
 
 
-def _strings(unit: np.ndarray, tree: int) -> np.ndarray:
-    return np.packbits(unit @ _planes(tree, unit.shape[1]) > 0, axis=1).view(">u8").ravel().astype(np.uint64)
+def _first_bits(unit: np.ndarray, tree: int) -> np.ndarray:
+    return np.packbits(unit @ _planes(1000 + tree, unit.shape[1]) > 0, axis=1)
+
+
+def _middles(sample: np.ndarray, tree: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """First bits of at least `least` vectors of a sample, sorted, and where the further planes part these in halves."""
+    first = _first_bits(sample, tree).view(">u8").ravel()
+    keys, counts = np.unique(first, return_counts=True)
+    keys = keys[counts >= least]
+    further = sample @ _planes(5000 + tree, sample.shape[1])
+    return keys, np.array([np.median(further[first == x], axis=0) for x in keys], np.float32).reshape(-1, 64)
+
+
+def _strings(unit: np.ndarray, tree: int, middles: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """16 bytes of each vector."""
+    first, (keys, middle) = _first_bits(unit, tree), middles
+    further = unit @ _planes(5000 + tree, unit.shape[1])
+    if len(keys):
+        own = first.view(">u8").ravel()
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        hot = np.flatnonzero(keys[at] == own)
+        further[hot] -= middle[at[hot]]
+    return np.concatenate([first, np.packbits(further > 0, axis=1)], axis=1).view("S16").ravel()
+
+
+def _dealt(vids: np.ndarray, tree: int) -> np.ndarray:
+    """Hashes that differ from tree to tree."""
+    x = (vids.view(np.uint64) ^ np.uint64(tree * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(33)
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -58,7 +90,7 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(kind, len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
-def _plant(dim: int, trees: int, cuts, rounded: bool):
+def _plant(dim: int, trees: int, plan, rounded: bool):
     """(stretch, string) of each vector and tree, with (vid, code, error) if rounded, else all columns given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,38 +99,52 @@ def _plant(dim: int, trees: int, cuts, rounded: bool):
                 continue
             exact = _unit(batch.column("embedding"), dim)
             unit = exact.astype(np.float32)
+            vids = batch.column("vid").to_numpy()
             names, columns = batch.schema.names, batch.columns
             if rounded:
                 codes = np.round(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
                 error = np.linalg.norm(exact - codes / np.linalg.norm(codes.astype(np.float64), axis=1, keepdims=True), axis=1) + FLOAT_ERROR
                 names, columns = ["vid", "code", "error"], [batch.column("vid"), _fixed(codes), pa.array(error.astype(np.float32))]
             for tree in range(trees):
-                strings = _strings(unit, tree)
-                at = tree * (cuts.value.shape[1] + 1) + np.searchsorted(cuts.value[tree], strings, side="right")
-                # Spark sorts signed numbers, so the highest bit is turned.
-                signed = (strings ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(signed), *columns], ["stretch", "string", *names])
+                cuts, middles = plan.value[tree]
+                strings = _strings(unit, tree, middles)
+                at = np.searchsorted(cuts, strings, side="right")
+                # Strings that are cut more than once share the stretches between.
+                equal = at - np.searchsorted(cuts, strings, side="left")
+                at = tree * (len(cuts) + 1) + at - _dealt(vids, tree).astype(np.int64) % np.maximum(equal, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), _fixed(strings), *columns], ["stretch", "string", *names])
 
     return run
 
 
 def _leaves(strings: np.ndarray, leaf: int) -> Iterator[tuple[int, int]]:
-    """Spans of a sorted array that hold one prefix each, as short a one as keeps to `leaf` strings; equal strings are cut by number."""
+    """Spans of a sorted array that hold one prefix each, as short a one as keeps to `leaf` strings, or equal strings, however many."""
+    halves = strings.view(">u8").reshape(-1, 2).astype(np.uint64)
     stack = [(0, len(strings), 0)]
     while stack:
         begin, end, depth = stack.pop()
-        if end - begin <= leaf:
+        if end - begin <= leaf or depth == 128:
             if end - begin > 1:
                 yield begin, end
-        elif depth == 64:
-            for at in range(begin, end, leaf):
-                yield at, min(at + leaf, end)
         else:
-            bit = (strings[begin:end] >> np.uint64(63 - depth)) & np.uint64(1)
+            bit = (halves[begin:end, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
             middle = begin + int(np.searchsorted(bit, 1))
             stack += [(begin, middle, depth + 1), (middle, end, depth + 1)]
 
 
+def _parted(unit: np.ndarray, leaf: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """The vectors halved along random directions, until `leaf` hold them."""
+    stack = [np.arange(len(unit))]
+    while stack:
+        at = stack.pop()
+        if len(at) <= leaf:
+            yield at
+        else:
+            x = unit[at] - unit[at[0]]
+            at = at[np.argsort(x @ rng.normal(size=x.shape[1]), kind="stable")]
+            stack += [at[: len(at) // 2], at[len(at) // 2 :]]
+
+
 def _compare(unit: np.ndarray, error: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, cosine, error) of the pairs i < j of a leaf that may be among the k best of either, and the vectors to be compared unrounded."""
     keep = max(KEEP, k)
@@ -144,20 +190,26 @@ def _ordered(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
 def _search(dim: int, leaf: int, rounded: bool, least: float, k: int):
     """The pairs in the leaves of sorted stretches: (a, b, near, error), with a row (a, null, null, null) for each vector to be compared unrounded; or (a, b, cosine)."""
 
-    def rounded_pairs(strings: np.ndarray, vids: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rounded_pairs(stretch: int, strings: np.ndarray, vids: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[pa.RecordBatch]:
         for begin, end in _leaves(strings, leaf):
             x, here = codes[begin:end].astype(np.float32), vids[begin:end]
-            i, j, near, both, crowd = _compare(x / np.linalg.norm(x, axis=1, keepdims=True), error[begin:end], least, k)
+            if end - begin > leaf:
+                i = j = np.empty(0, np.int64)
+                near, both, crowd = np.empty(0, np.float32), np.empty(0, np.float32), np.arange(end - begin)
+            else:
+                i, j, near, both, crowd = _compare(x / np.linalg.norm(x, axis=1, keepdims=True), error[begin:end], least, k)
             names, none = ["a", "b", "near", "error"], len(crowd)
             yield pa.RecordBatch.from_arrays([*_ordered(here[i], here[j]), pa.array(near), pa.array(both)], names)
             if none:
                 yield pa.RecordBatch.from_arrays([pa.array(here[crowd]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float32()), pa.nulls(none, pa.float32())], names)
 
-    def exact_pairs(strings: np.ndarray, vids: np.ndarray, places: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def exact_pairs(stretch: int, strings: np.ndarray, vids: np.ndarray, places: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(stretch)
         for begin, end in _leaves(strings, leaf):
-            at = begin + np.argsort(places[begin:end])
-            i, j, cosine = _best(unit[at], least, k)
-            yield pa.RecordBatch.from_arrays([*_ordered(vids[at[i]], vids[at[j]]), pa.array(cosine)], ["a", "b", "cosine"])
+            for at in _parted(unit[begin:end], leaf, rng):
+                at = begin + at[np.argsort(places[begin + at])]
+                i, j, cosine = _best(unit[at], least, k)
+                yield pa.RecordBatch.from_arrays([*_ordered(vids[at[i]], vids[at[j]]), pa.array(cosine)], ["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -167,13 +219,13 @@ def _search(dim: int, leaf: int, rounded: bool, least: float, k: int):
             if held:
                 columns = [np.concatenate(c) for c in zip(*held)]
                 held.clear()
-                yield from (rounded_pairs if rounded else exact_pairs)(*columns)
+                yield from (rounded_pairs if rounded else exact_pairs)(current, *columns)
 
         for batch in batches:
             if not len(batch):
                 continue
             stretch = batch.column("stretch").to_numpy()
-            columns = [batch.column("string").to_numpy().view(np.uint64) ^ np.uint64(1 << 63), batch.column("vid").to_numpy()]
+            columns = [np.frombuffer(b"".join(batch.column("string").to_pylist()), "S16"), batch.column("vid").to_numpy()]
             if rounded:
                 columns += [np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(-1, dim), batch.column("error").to_numpy()]
             else:
@@ -238,16 +290,18 @@ def similar_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int = 6
     total = classes.count()
     sample = classes.orderBy(F.xxhash64("vid")).limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
     stretches = max(1, min(-(-total // STRETCH), SAMPLE // 8))
-    cuts = np.zeros((trees, stretches - 1), np.uint64)
-    if stretches > 1:
+    plan = []
+    if total:
         unit = _unit(sample, dim).astype(np.float32)
         at = np.arange(1, stretches) * len(unit) // stretches
-        cuts = np.stack([np.sort(_strings(unit, tree))[at] for tree in range(trees)])
-    cuts = context.broadcast(cuts)
+        for tree in range(trees):
+            middles = _middles(unit, tree, max(LEAST_SAMPLED, leaf * len(unit) / total))
+            plan.append((np.sort(_strings(unit, tree, middles))[at], middles))
+    plan = context.broadcast(plan)
 
     def forest(vectors: DataFrame, rounded: bool, columns: str, found: str) -> DataFrame:
-        planted = vectors.mapInArrow(_plant(dim, trees, cuts, rounded), f"stretch int, string bigint, {columns}")
-        return planted.repartition("stretch").sortWithinPartitions("stretch", "string", "vid").mapInArrow(_search(dim, leaf, rounded, least, k), found)
+        planted = vectors.mapInArrow(_plant(dim, trees, plan, rounded), f"stretch int, string binary, {columns}")
+        return planted.repartition("stretch").sortWithinPartitions("stretch", "string", F.xxhash64("vid", "stretch")).mapInArrow(_search(dim, leaf, rounded, least, k), found)
 
     near = forest(classes.select("vid", "embedding"), True, "vid bigint, code binary, error float", "a bigint, b bigint, near float, error float")
     near = materialize(near.groupBy("a", "b").agg(F.first("near").alias("near"), F.first("error").alias("error")), "near")

@@ -81,3 +81,13 @@ def test_a_tight_cluster_is_exact(spark):
     rows = [(f"v{i:03}", a + rng.normal(size=64) * 0.003) for i in range(300)]
     got = {(r.id, r.neighbour) for r in similar_vectors(frame(spark, rows), "id", "embedding").collect()}
     assert got == brute(rows, 5, 0.85)
+
+
+def test_recall_in_a_hot_cluster(spark):
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=64)
+    rows = [(f"v{i:04}", a + rng.normal(size=64) * 0.001) for i in range(4000)]
+    got = {(r.id, r.neighbour) for r in similar_vectors(frame(spark, rows), "id", "embedding", leaf=512).collect()}
+    want = brute(rows, 5, 0.85)
+    print("recall", len(got & want) / len(want))
+    assert len(got & want) >= 0.9 * len(want)
