@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,6 +180,21 @@ def encoding(text: Column, model: WordPiece) -> Column:
     return run(text)
 
 
+def located(df: DataFrame, row: str, text: str, model: WordPiece) -> DataFrame:
+    """row, id, begin, end: a row for each piece of `encoding`, for texts of any length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in enumerate(batch.column(1)):
+                if x.is_valid:
+                    found = list(zip(*model.encode_with_offsets(x.as_py())))
+                    of = batch.column(0).take(pa.array([at] * len(found[0]), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([of, *(pa.array(c, pa.int32()) for c in found)], [row, "id", "begin", "end"])
+
+    kind = df.schema[row].dataType.simpleString()
+    return df.select(row, text).mapInArrow(run, f"`{row}` {kind}, id int, begin int, end int")
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> tuple[str, ...]:
     """The tokens of a text file with one token per line, in order; the number of the line is the id."""
     return tuple(spark.sparkContext.wholeTextFiles(path).values().first().rstrip("\n").split("\n"))

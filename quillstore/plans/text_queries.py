@@ -9,7 +9,9 @@ from quillstore.operators import indexing
 from quillstore.plans.store_queries import _CUR, _current
 from quillstore.sources.tables import read_table
 
-MODEL = wordpiece.WordPiece(wordpiece.character_vocabulary(), max_length=128)
+#: No text reaches this length: whole texts are encoded; only wordpiece_truncated cuts.
+MODEL = wordpiece.WordPiece(wordpiece.character_vocabulary(), max_length=2**31 - 1)
+TRUNCATED = 128
 
 
 def chunk_markdown(spark, base):
@@ -68,6 +70,13 @@ def wordpiece_encode(spark, base):
     return read_table(spark, base, "documents").where("text is not null").select("doc_id", wordpiece.encoded(F.col("text"), MODEL).alias("ids"))
 
 
+def wordpiece_truncated(spark, base):
+    """The first TRUNCATED pieces of each text, the last one [SEP], and how many were left out."""
+    ids, over = F.col("ids"), F.greatest(F.size("ids") - TRUNCATED, F.lit(0))
+    cut = F.when(over > 0, F.concat(F.slice(ids, 1, TRUNCATED - 1), F.slice(ids, -1, 1))).otherwise(ids)
+    return wordpiece_encode(spark, base).select("doc_id", cut.alias("ids"), over.alias("overflow"))
+
+
 def wordpiece_pair(spark, base):
     rows = read_table(spark, base, "documents").where("text is not null and title is not null")
     pair = wordpiece.joined_pair(wordpiece.encoded(F.col("title"), MODEL), wordpiece.encoded(F.col("text"), MODEL), MODEL)
@@ -75,7 +84,7 @@ def wordpiece_pair(spark, base):
 
 
 def wordpiece_decode(spark, base):
-    rows = read_table(spark, base, "documents").where("title is not null").select("doc_id", wordpiece.encoded(F.col("title"), MODEL).alias("ids"))
+    rows = read_table(spark, base, "documents").where("text is not null").select("doc_id", wordpiece.encoded(F.col("text"), MODEL).alias("ids"))
     return wordpiece.decoded(rows, "doc_id", "ids", MODEL)
 
 
@@ -141,8 +150,7 @@ def late_interaction(spark, base):
 
 
 def wordpiece_offsets(spark, base):
-    rows = read_table(spark, base, "documents").where("title is not null").select("doc_id", F.explode(wordpiece.encoding(F.col("title"), MODEL)).alias("piece"))
-    return rows.select("doc_id", "piece.id", "piece.begin", "piece.end")
+    return wordpiece.located(read_table(spark, base, "documents"), "doc_id", "text", MODEL)
 
 
 def attention(spark, base):
@@ -201,7 +209,7 @@ QUERIES = {
     "chunk_markdown": chunk_markdown, "atx_headings": atx_headings, "index_markdown": index_markdown,
     "simhash64": simhash, "simhash_audit": simhash_audit, "simhash_near_dup": simhash_near_dup,
     "dialect_compress": dialect_compress, "compression_ratio": compression_ratio, "fake_embedding": fake_embedding,
-    "normalize_text": normalize_text, "wordpiece_encode": wordpiece_encode, "wordpiece_pair": wordpiece_pair, "wordpiece_decode": wordpiece_decode,
+    "normalize_text": normalize_text, "wordpiece_encode": wordpiece_encode, "wordpiece_truncated": wordpiece_truncated, "wordpiece_pair": wordpiece_pair, "wordpiece_decode": wordpiece_decode,
     **{f"vec_{n}": _elementwise(n) for n in ("l2_normalize", "softmax", "layer_norm", "relu", "gelu", "sigmoid", "tanh")},
     "vec_add_scale": vec_add_scale, "vec_mean_pool_by_label": vec_mean_pool_by_label, "matmul_gram": matmul_gram, "embedding_lookup": embedding_lookup,
     "position_ids": position_ids, "pad_ids": pad_ids, "wordpiece_offsets": wordpiece_offsets, "attention": attention, "sinusoidal_positions": sinusoidal_positions, "viterbi_tags": viterbi_tags,

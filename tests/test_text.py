@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstore.functions import text, wordpiece
+from quillstore.plans import text_queries
 
 
 def column(spark, values, expression):
@@ -85,3 +86,16 @@ def test_wordpiece_by_parts_is_that_of_the_whole_text(spark):
     whole = [[2, *(i for w in model.words(model.normalize(t)) for i in model.pieces(w)), 3] for t in texts]
     assert column(spark, texts, lambda x: wordpiece.encoded(x, model)) == whole
     assert column(spark, texts, lambda x: wordpiece.normalized(x, model)) == [model.normalize(t) for t in texts]
+
+
+def test_wordpiece_queries_take_whole_texts(spark, base):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{base}/documents.parquet").where("text is not null and doc_id % 5 = 0").collect()}
+    of = lambda name: text_queries.QUERIES[name](spark, base).where("doc_id % 5 = 0")
+    want = {d: text_queries.MODEL.encode(x, {}) for d, x in texts.items()}
+    assert max(map(len, want.values())) > 128
+    assert {r.doc_id: r.ids for r in of("wordpiece_encode").collect()} == want
+    assert {r.row: r.n for r in of("wordpiece_offsets").groupBy(F.col("doc_id").alias("row")).agg(F.count("id").alias("n")).collect()} == {d: len(x) for d, x in want.items()}
+    assert {r.doc_id for r in of("wordpiece_decode").where("length(text) > 300").select("doc_id").collect()}
+    for r in of("wordpiece_truncated").collect():
+        ids = want[r.doc_id]
+        assert r.overflow == max(len(ids) - 128, 0) and r.ids == (ids if len(ids) <= 128 else [*ids[:127], ids[-1]])
