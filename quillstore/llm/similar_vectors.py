@@ -1,24 +1,28 @@
 """The k most similar vectors of every vector, by a forest of sorted hash strings.
 
-Each tree gives a vector a string of 128 bits: on which side of 64 orthogonal planes, turned at random, it lies, and on
-which side of 64 further ones. Where a sample shows that more vectors than a leaf holds have the first 64 bits in common,
-the further planes of these go through their middle, so that a tight cluster is parted too, by each tree in its own way.
-Equal strings that still are too many for a leaf are halved along random directions, or, for tasks, dealt by a hash. A tree
-is the sorted array of these strings. Vectors with long common prefixes stand side by side, so all vectors descend to
-their longest matches at once; from there each tree ascends, to shorter and shorter prefixes, as long as a prefix holds at
-most LEAF vectors. Such a leaf has the candidates of all its vectors, which are compared with each other. What one
-tree separates, another keeps together.
-
-A tree's array is cut into stretches for the tasks at strings taken from a sample of SAMPLE vectors; every vector is
-put into every tree. In a leaf, vectors are compared in a rounded form (a byte per number). By how much the rounding may
-have changed a cosine is known for each vector, and all pairs that may be among the k best are compared exactly
-afterwards. Where more than KEEP others may be among a vector's k best (tight clusters, one direction in many lengths),
-it and they go through the trees a second time, with their unrounded numbers, and each leaf gives the k best exactly.
+Each tree gives a vector a string of 128 bits. The first ones are letters: which coordinate of the vector, turned at
+random, is the largest, and its sign. The others tell on which side of random planes it lies; where a sample shows many
+vectors with the first 64 bits in common, the last 64 planes go through their middle, so that a tight cluster is parted
+too, by each tree in its own way. A tree is the sorted array of these strings; vectors with long common prefixes stand
+side by side in it, so that all vectors descend to their longest matches at once.
+
+From there a vector ascends in all trees in step: the length of its prefix is the same in all of them, and becomes shorter
+until the trees together hold WANTED others with that prefix. Where this is, is told by the sorted strings of the sample,
+and beyond what these can tell, by halving. The task that holds this stretch of a tree compares the vector with all
+others that have its prefix there (CELL at most: more only means that it stays below in this tree).
+
+A tree's array is cut into stretches for the tasks at prefixes taken from the sample; every vector is put into every
+tree, and a stretch of any size is worked off cell by cell. Vectors are first compared in a rounded form (a byte per
+number). By how much the rounding may have changed a cosine is known for each vector, and all pairs that may be among
+the k best are compared exactly afterwards. Where more than KEEP others may be among a vector's k best (tight clusters,
+one direction in many lengths), it and they go through the trees a second time, with their unrounded numbers and CROWDED
+times the candidates, and each cell gives the k best exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +31,140 @@ from pyspark.sql import functions as F
 
 from quillstore.sources.tables import materialize
 
-TREES, LEAF, SAMPLE = 16, 2048, 20_000
-#: Vectors in a stretch, about, and those that a task holds at most at a time.
-STRETCH, HELD = 1 << 15, 1 << 17
-#: Vectors of the sample that tell the middle of those with equal first bits, at least.
+#: Trees, candidates that a vector asks of all trees together, and vectors in the sample.
+TREES, WANTED, SAMPLE = 16, 16_384, 20_000
+#: Times the candidates for vectors in tight clusters.
+CROWDED = 6
+#: Vectors in a stretch, about; vectors that a task holds at a time; vectors of a cell at most, and so few that a cell needn't be parted.
+STRETCH, HELD, CELL, FEW = 1 << 15, 1 << 17, 1 << 13, 1 << 8
+#: Letters at the beginning of a string.
+LETTERS = 5
+#: Stretches of a tree for which their numbers have room, and the depth of a vector that has been compared.
+STRETCHES, DONE = 1 << 20, 999
+#: Vectors of the sample that tell the middle of those with equal first bits, and the length of a prefix, at least.
 LEAST_SAMPLED = 8
-#: Candidates of a vector in a leaf above which they are compared there, unrounded, instead of pair by pair afterwards.
+#: Candidates of a vector in a cell above which they are compared there, unrounded, instead of pair by pair afterwards.
 KEEP = 32
+#: Vectors that are compared with a cell at once.
+ROWS = 1 << 8
+#: Bytes of a partition of planted vectors, about.
+PARTITION = 128 << 20
 #: What float32 adds to the rounding of cosines; vectors of one direction are equal in unit coordinates of this grid,
 #: which is so fine that all their cosines are 1 to 9 decimals (in up to 500 dimensions).
 FLOAT_ERROR, GRID = 1e-5, 1 << 20
 
 
-def _planes(seed: int, dim: int) -> np.ndarray:
-    """64 planes, orthogonal as far as the dimension allows."""
-    rng = np.random.default_rng(seed)
-    parts = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-64 // dim))]
-    return np.concatenate(parts, axis=1)[:, :64].astype(np.float32)
-
+class Tree(NamedTuple):
+    """What the sample tells of a tree: where its array is cut, the first bits of crowds and their middles, and the sample's sorted strings."""
 
-def _first_bits(unit: np.ndarray, tree: int) -> np.ndarray:
-    return np.packbits(unit @ _planes(1000 + tree, unit.shape[1]) > 0, axis=1)
+    cuts: np.ndarray
+    crowds: np.ndarray
+    middles: np.ndarray
+    first: np.ndarray
+    further: np.ndarray
 
 
-def _middles(sample: np.ndarray, tree: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """First bits of at least `least` vectors of a sample, sorted, and where the further planes part these in halves."""
-    first = _first_bits(sample, tree).view(">u8").ravel()
-    keys, counts = np.unique(first, return_counts=True)
-    keys = keys[counts >= least]
-    further = sample @ _planes(5000 + tree, sample.shape[1])
-    return keys, np.array([np.median(further[first == x], axis=0) for x in keys], np.float32).reshape(-1, 64)
+def _turned(seed: int, dim: int, width: int) -> np.ndarray:
+    """`width` planes, orthogonal as far as the dimension allows."""
+    rng = np.random.default_rng(seed)
+    parts = [np.linalg.qr(rng.normal(size=(dim, min(dim, width))))[0] for _ in range(-(-width // dim))]
+    return np.concatenate(parts, axis=1)[:, :width].astype(np.float32)
 
 
-def _strings(unit: np.ndarray, tree: int, middles: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """16 bytes of each vector."""
-    first, (keys, middle) = _first_bits(unit, tree), middles
-    further = unit @ _planes(5000 + tree, unit.shape[1])
-    if len(keys):
-        own = first.view(">u8").ravel()
-        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        hot = np.flatnonzero(keys[at] == own)
-        further[hot] -= middle[at[hot]]
-    return np.concatenate([first, np.packbits(further > 0, axis=1)], axis=1).view("S16").ravel()
+def _first_bits(unit: np.ndarray, tree: int) -> np.ndarray:
+    """The first 64 bits of each vector's string: letters, then sides of planes."""
+    dim = unit.shape[1]
+    width = min(dim, 64)
+    bits, out = max(1, (2 * width - 1).bit_length()), np.zeros(len(unit), np.uint64)
+    for letter in range(LETTERS):
+        x = unit @ _turned(10_000 * (letter + 1) + tree, dim, width)
+        at = np.abs(x).argmax(axis=1)
+        sign = np.take_along_axis(x, at[:, None], axis=1)[:, 0] > 0
+        out = (out << np.uint64(bits)) | (2 * at + sign).astype(np.uint64)
+    left = 64 - LETTERS * bits
+    for side in (unit @ _turned(1000 + tree, dim, left) > 0).T:
+        out = (out << np.uint64(1)) | side.astype(np.uint64)
+    return out
+
+
+def _further_bits(unit: np.ndarray, tree: int, first: np.ndarray, crowds: np.ndarray, middles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last 64 bits of each string, and the number of its crowd (-1: none)."""
+    x = unit @ _turned(5000 + tree, unit.shape[1], 64)
+    crowd = np.full(len(unit), -1)
+    if len(crowds):
+        at = np.minimum(np.searchsorted(crowds, first), len(crowds) - 1)
+        crowd = np.where(crowds[at] == first, at, -1)
+        x[crowd >= 0] -= middles[crowd[crowd >= 0]]
+    return np.packbits(x > 0, axis=1).view(">u8").ravel().astype(np.uint64), crowd
+
+
+def _of_crowds(further: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+    """Strings of crowds as single numbers: the crowd and the first 48 of the further bits."""
+    return (crowd.astype(np.uint64) << np.uint64(48)) | (further >> np.uint64(16))
+
+
+def _joined(first: np.ndarray, further: np.ndarray) -> np.ndarray:
+    return np.stack([first, further], axis=1).astype(">u8").view("S16").ravel()
+
+
+def _sharing(sorted_strings: np.ndarray, strings: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """How many of the sorted strings have the first `bits` (1 to 64) bits in common with each of `strings`."""
+    away = (64 - bits).astype(np.uint64)
+    low = (strings >> away) << away
+    return np.searchsorted(sorted_strings, low | ((np.uint64(1) << away) - np.uint64(1)), side="right") - np.searchsorted(sorted_strings, low)
+
+
+def _longest(count, n: int, most: int, least: float) -> np.ndarray:
+    """The largest number of bits, up to `most`, of which count(bits) is at least `least`, for n vectors at once; 0 if none."""
+    low, high = np.zeros(n, np.int64), np.full(n, most)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        enough = count(middle) >= least
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
+    return low
+
+
+def _depths(trees: list[Tree], strings: list[tuple[np.ndarray, ...]], wanted: float) -> np.ndarray:
+    """The length of each vector's prefix, one for all trees: the longest that `wanted` vectors of the sample have in common with it, counted over all trees."""
+    n, least = len(strings[0][0]), max(wanted, LEAST_SAMPLED)
+    depth = _longest(lambda bits: sum(_sharing(t.first, s[0], bits) for t, s in zip(trees, strings)), n, 64, least)
+    deep = np.flatnonzero(depth == 64)
+    if len(deep):
+        inside = [(t.further, _of_crowds(s[1][deep], s[2][deep]), s[2][deep] >= 0) for t, s in zip(trees, strings)]
+        depth[deep] += _longest(lambda bits: sum(np.where(hot, _sharing(known, own, bits + 16), 0) for known, own, hot in inside), len(deep), 48, least)
+    return np.minimum(depth + int(np.log2(least / wanted)), 128).astype(np.uint8)
+
+
+def _plan(unit: np.ndarray, trees: int, stretches: int, wanted: float, least: float) -> list[Tree]:
+    """The trees of a sample; `wanted` and `least` are counted in vectors of the sample."""
+    found, strings = [], []
+    for tree in range(trees):
+        first = _first_bits(unit, tree)
+        keys, counts = np.unique(first, return_counts=True)
+        keys = keys[counts >= least]
+        x = unit @ _turned(5000 + tree, unit.shape[1], 64)
+        middles = np.array([np.median(x[first == key], axis=0) for key in keys], np.float32).reshape(-1, 64)
+        further, crowd = _further_bits(unit, tree, first, keys, middles)
+        strings.append((first, further, crowd))
+        found.append(Tree(np.empty(0, "S16"), keys, middles, np.sort(first), np.sort(_of_crowds(further, crowd)[crowd >= 0])))
+    depth = _depths(found, strings, wanted).astype(np.int64)
+    at = np.arange(1, stretches) * len(unit) // stretches
+    for tree, (first, further, _) in enumerate(strings):
+        order = np.lexsort((further, first))[at]
+        halves = np.stack([first[order], further[order]], axis=1)
+        # A cut before the cell of a vector leaves the cell whole; only equal strings are cut where they stand.
+        bits = depth[order]
+        begin = halves.copy()
+        for half, own in enumerate((np.minimum(bits, 64), np.maximum(bits - 64, 0))):
+            mask = np.where(own > 0, ~np.uint64(0) << np.minimum(64 - own, 63).astype(np.uint64), np.uint64(0))
+            begin[:, half] &= mask
+        again = np.append(False, (halves[1:] == halves[:-1]).all(axis=1)) if len(at) else np.zeros(0, bool)
+        begin[again] = halves[again]
+        cuts = np.sort(_joined(begin[:, 0], begin[:, 1]))
+        same = _joined(halves[again, 0], halves[again, 1])
+        keep = np.append(True, cuts[1:] != cuts[:-1]) | np.isin(cuts, same) if len(cuts) else np.zeros(0, bool)
+        found[tree] = found[tree]._replace(cuts=cuts[keep])
+    return found
 
 
 def _dealt(vids: np.ndarray, tree: int) -> np.ndarray:
@@ -90,10 +186,15 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(kind, len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
 
 
-def _plant(dim: int, trees: int, plan, rounded: bool):
-    """(stretch, string) of each vector and tree, with (vid, code, error) if rounded, else all columns given."""
+def _bytes(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _plant(dim: int, plan, wanted: float, rounded: bool):
+    """(stretch, string, depth) of each vector and tree, with (vid, code, error) if rounded, else all columns given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: list[Tree] = plan.value
         for batch in batches:
             if not len(batch):
                 continue
@@ -105,39 +206,49 @@ def _plant(dim: int, trees: int, plan, rounded: bool):
                 codes = np.round(unit / np.abs(unit).max(axis=1, keepdims=True) * 127).astype(np.int8)
                 error = np.linalg.norm(exact - codes / np.linalg.norm(codes.astype(np.float64), axis=1, keepdims=True), axis=1) + FLOAT_ERROR
                 names, columns = ["vid", "code", "error"], [batch.column("vid"), _fixed(codes), pa.array(error.astype(np.float32))]
-            for tree in range(trees):
-                cuts, middles = plan.value[tree]
-                strings = _strings(unit, tree, middles)
-                at = np.searchsorted(cuts, strings, side="right")
+            strings = []
+            for number, tree in enumerate(trees):
+                first = _first_bits(unit, number)
+                strings.append((first, *_further_bits(unit, number, first, tree.crowds, tree.middles)))
+            depth = pa.array(_depths(trees, strings, wanted).astype(np.int16))
+            for number, (tree, (first, further, _)) in enumerate(zip(trees, strings)):
+                string = _joined(first, further)
+                at = np.searchsorted(tree.cuts, string, side="right")
                 # Strings that are cut more than once share the stretches between.
-                equal = at - np.searchsorted(cuts, strings, side="left")
-                at = tree * (len(cuts) + 1) + at - _dealt(vids, tree).astype(np.int64) % np.maximum(equal, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), _fixed(strings), *columns], ["stretch", "string", *names])
+                equal = at - np.searchsorted(tree.cuts, string, side="left")
+                at = number * STRETCHES + at - _dealt(vids, number).astype(np.int64) % np.maximum(equal, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), _fixed(string), depth, *columns], ["stretch", "string", "depth", *names])
 
     return run
 
 
-def _leaves(strings: np.ndarray, leaf: int) -> Iterator[tuple[int, int]]:
-    """Spans of a sorted array that hold one prefix each, as short a one as keeps to `leaf` strings, or equal strings, however many."""
-    halves = strings.view(">u8").reshape(-1, 2).astype(np.uint64)
-    stack = [(0, len(strings), 0)]
+def _cells(halves: np.ndarray, depth: np.ndarray, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(begin, end, who): cells of a sorted array with one prefix each, and the vectors in it that are to be compared with the cell. Only cells of equal strings hold more than `most`."""
+    few = min(FEW, most)
+    open_, stack = depth < DONE, [(0, len(halves), 0)]
     while stack:
-        begin, end, depth = stack.pop()
-        if end - begin <= leaf or depth == 128:
-            if end - begin > 1:
-                yield begin, end
-        else:
-            bit = (halves[begin:end, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
-            middle = begin + int(np.searchsorted(bit, 1))
-            stack += [(begin, middle, depth + 1), (middle, end, depth + 1)]
+        begin, end, bit = stack.pop()
+        if end - begin < 2:
+            continue
+        if end - begin <= most or bit == 128:
+            here = open_[begin:end]
+            who = begin + np.flatnonzero(here if end - begin <= few or bit == 128 else here & (depth[begin:end] <= bit))
+            if len(who):
+                yield begin, end, who
+                open_[who] = False
+            if not open_[begin:end].any():
+                continue
+        side = (halves[begin:end, bit // 64] >> np.uint64(63 - bit % 64)) & np.uint64(1)
+        middle = begin + int(np.searchsorted(side, 1))
+        stack += [(middle, end, bit + 1), (begin, middle, bit + 1)]
 
 
-def _parted(unit: np.ndarray, leaf: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """The vectors halved along random directions, until `leaf` hold them."""
+def _parted(unit: np.ndarray, most: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """The vectors halved along random directions, until `most` hold them."""
     stack = [np.arange(len(unit))]
     while stack:
         at = stack.pop()
-        if len(at) <= leaf:
+        if len(at) <= most:
             yield at
         else:
             x = unit[at] - unit[at[0]]
@@ -145,99 +256,130 @@ def _parted(unit: np.ndarray, leaf: int, rng: np.random.Generator) -> Iterator[n
             stack += [at[: len(at) // 2], at[len(at) // 2 :]]
 
 
-def _compare(unit: np.ndarray, error: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, cosine, error) of the pairs i < j of a leaf that may be among the k best of either, and the vectors to be compared unrounded."""
-    keep = max(KEEP, k)
-    s = unit @ unit.T
-    np.fill_diagonal(s, -4)
-    hit = s >= least - 2 * error.max()
-    crowd = np.zeros(len(s), bool)
-    many = np.flatnonzero(hit.sum(1) > keep)
-    if len(many):
-        both = error[many, None] + error
-        kth = -np.partition(both - s[many], k - 1, axis=1)[:, k - 1]
-        high = s[many] + both
-        maybe = (high >= kth[:, None]) & (high >= least)
-        dense = maybe.sum(1) > keep
-        crowd[many[dense]] = True
-        crowd |= maybe[dense].any(0)
-        maybe[dense] = False
-        hit[many] = maybe
-    i, j = np.nonzero(np.triu(hit | hit.T, 1))
-    both = error[i] + error[j]
-    stay = s[i, j] + both >= least
-    return i[stay], j[stay], s[i, j][stay], both[stay], np.flatnonzero(crowd)
-
-
-def _best(unit: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, cosine) with i < j of the k best others of each vector of a leaf; ties go to the one that stands first."""
-    s = np.round(unit @ unit.T, 9)
-    np.fill_diagonal(s, -4)
-    k = min(k, len(s) - 1)
-    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-    best = s > kth
-    tied = s == kth
-    best |= tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - best.sum(1, keepdims=True))
-    best &= s >= least
-    i, j = np.nonzero(np.triu(best | best.T, 1))
-    return i, j, s[i, j]
-
-
-def _ordered(a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))]
-
-
-def _search(dim: int, leaf: int, rounded: bool, least: float, k: int):
-    """The pairs in the leaves of sorted stretches: (a, b, near, error), with a row (a, null, null, null) for each vector to be compared unrounded; or (a, b, cosine)."""
-
-    def rounded_pairs(stretch: int, strings: np.ndarray, vids: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for begin, end in _leaves(strings, leaf):
-            x, here = codes[begin:end].astype(np.float32), vids[begin:end]
-            if end - begin > leaf:
-                i = j = np.empty(0, np.int64)
-                near, both, crowd = np.empty(0, np.float32), np.empty(0, np.float32), np.arange(end - begin)
+def _may_be_best(unit: np.ndarray, error: np.ndarray, who: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) of the pairs of a cell, with i in `who`, of which j may be among the k best of i, and the vectors to be compared unrounded."""
+    keep, crowd, found = max(KEEP, k), np.zeros(len(unit), bool), []
+    for at in range(0, len(who), ROWS):
+        own = who[at : at + ROWS]
+        s = unit[own] @ unit.T
+        s[np.arange(len(own)), own] = -4
+        i, j = np.nonzero(s >= least - 2 * error.max())
+        value, high = s[i, j], s[i, j] + error[own[i]] + error[j]
+        stay = high >= least
+        i, j, value, high = i[stay], j[stay], value[stay], high[stay]
+        ends = np.cumsum(np.bincount(i, minlength=len(own)))
+        for row in np.flatnonzero(np.diff(ends, prepend=0) > keep):
+            here = np.arange(ends[row - 1] if row else 0, ends[row])
+            kth = np.partition(2 * value[here] - high[here], len(here) - k)[len(here) - k]
+            maybe = high[here] >= kth
+            if maybe.sum() > keep:
+                crowd[own[row]] = True
+                crowd[j[here[maybe]]] = True
+                maybe[:] = False
+            high[here[~maybe]] = -4
+        stay = high > -4
+        found.append((own[i[stay]], j[stay], value[stay]))
+    i, j, value = (np.concatenate(c) for c in zip(*found))
+    return i, j, value, np.flatnonzero(crowd)
+
+
+def _best(unit: np.ndarray, who: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine) of the k best others j of each i in `who`; ties go to the one that stands first."""
+    found, k = [], min(k, len(unit) - 1)
+    for at in range(0, len(who), ROWS):
+        own = who[at : at + ROWS]
+        s = np.round(unit[own] @ unit.T, 9)
+        s[np.arange(len(own)), own] = -4
+        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        best = s > kth
+        tied = s == kth
+        best |= tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= k - best.sum(1, keepdims=True))
+        best &= s >= least
+        i, j = np.nonzero(best)
+        found.append((own[i], j, s[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Pairs a < b, each once, with their values."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    keep = order[np.append(True, (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0))] if len(order) else order
+    return [low[keep], high[keep], *(v[keep] for v in values)]
+
+
+def _search(dim: int, most: int, rounded: bool, least: float, k: int):
+    """The pairs in the cells of sorted stretches: (a, b, near, error), with a row (a, null, null, null) for each vector to be compared unrounded; or (a, b, cosine)."""
+
+    def rounded_pairs(cells, vids: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "near", "error"]
+        for begin, end, who in cells:
+            here = vids[begin:end]
+            if end - begin > most:
+                crowd = np.arange(end - begin)
             else:
-                i, j, near, both, crowd = _compare(x / np.linalg.norm(x, axis=1, keepdims=True), error[begin:end], least, k)
-            names, none = ["a", "b", "near", "error"], len(crowd)
-            yield pa.RecordBatch.from_arrays([*_ordered(here[i], here[j]), pa.array(near), pa.array(both)], names)
-            if none:
+                x = codes[begin:end].astype(np.float32)
+                i, j, near, crowd = _may_be_best(x / np.linalg.norm(x, axis=1, keepdims=True), error[begin:end], who - begin, least, k)
+                columns = _pairs(here[i], here[j], near, error[begin + i] + error[begin + j])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            if len(crowd):
+                none = len(crowd)
                 yield pa.RecordBatch.from_arrays([pa.array(here[crowd]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.float32()), pa.nulls(none, pa.float32())], names)
 
-    def exact_pairs(stretch: int, strings: np.ndarray, vids: np.ndarray, places: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(stretch)
-        for begin, end in _leaves(strings, leaf):
-            for at in _parted(unit[begin:end], leaf, rng):
-                at = begin + at[np.argsort(places[begin + at])]
-                i, j, cosine = _best(unit[at], least, k)
-                yield pa.RecordBatch.from_arrays([*_ordered(vids[at[i]], vids[at[j]]), pa.array(cosine)], ["a", "b", "cosine"])
+    def exact_pairs(cells, vids: np.ndarray, places: np.ndarray, unit: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for begin, end, who in cells:
+            asking = np.zeros(end - begin, bool)
+            asking[who - begin] = True
+            for part in _parted(unit[begin:end], most, np.random.default_rng(abs(int(vids[begin])))):
+                part = part[np.argsort(places[begin + part])]
+                if len(part) > 1 and asking[part].any():
+                    i, j, cosine = _best(unit[begin + part], np.flatnonzero(asking[part]), least, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _pairs(vids[begin + part[i]], vids[begin + part[j]], cosine)], ["a", "b", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         current, size = None, 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                columns = [np.concatenate(c) for c in zip(*held)]
-                held.clear()
-                yield from (rounded_pairs if rounded else exact_pairs)(current, *columns)
+        def work(whole: bool) -> Iterator[pa.RecordBatch]:
+            """What is held of a stretch. Unless it is whole, the cells that may go on are held on, from the first of their vectors on."""
+            nonlocal size
+            if not held:
+                return
+            strings, depth, *columns = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            size = 0
+            cells = list(_cells(strings.view(">u8").reshape(-1, 2).astype(np.uint64), depth, most))
+            if not whole:
+                going_on = [c for c in cells if c[1] == len(strings)]
+                left = min((c[0] for c in going_on), default=len(strings))
+                if 0 < left:
+                    cells = [c for c in cells if c[1] < len(strings)]
+                    # Who has been compared already asks for nothing more, but stays as a candidate.
+                    asked = np.concatenate([c[2] for c in cells]) if cells else np.empty(0, np.int64)
+                    depth[asked] = DONE
+                    held.append([strings[left:], depth[left:], *(c[left:] for c in columns)])
+                    size = len(strings) - left
+            yield from (rounded_pairs if rounded else exact_pairs)(cells, *columns)
 
         for batch in batches:
             if not len(batch):
                 continue
             stretch = batch.column("stretch").to_numpy()
-            columns = [np.frombuffer(b"".join(batch.column("string").to_pylist()), "S16"), batch.column("vid").to_numpy()]
+            columns = [_bytes(batch.column("string"), "S16"), batch.column("depth").to_numpy(), batch.column("vid").to_numpy()]
             if rounded:
-                columns += [np.frombuffer(b"".join(batch.column("code").to_pylist()), np.int8).reshape(-1, dim), batch.column("error").to_numpy()]
+                columns += [_bytes(batch.column("code"), np.int8).reshape(-1, dim), batch.column("error").to_numpy()]
             else:
                 columns += [batch.column("place").to_numpy(), _unit(batch.column("embedding"), dim)]
             begins = np.flatnonzero(np.diff(stretch, prepend=-1))
             for begin, end in zip(begins, np.append(begins[1:], len(stretch))):
-                if stretch[begin] != current or size + end - begin > HELD:
-                    yield from flush()
-                    current, size = stretch[begin], 0
-                held.append(tuple(c[begin:end] for c in columns))
+                if stretch[begin] != current:
+                    yield from work(True)
+                    current = stretch[begin]
+                elif size + end - begin > HELD:
+                    yield from work(False)
+                held.append([c[begin:end] for c in columns])
                 size += end - begin
-        yield from flush()
+        yield from work(True)
 
     return run
 
@@ -274,34 +416,34 @@ def usable_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int) ->
     return rows.where((F.size("embedding") == dim) & finite & F.exists("embedding", lambda x: x != 0))
 
 
-def similar_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int = 64, k: int = 5, least: float = 0.85, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, embedding_col: str, dim: int = 64, k: int = 5, least: float = 0.85, trees: int = TREES, wanted: int = WANTED, most: int = CELL) -> DataFrame:
     """id, neighbour, cosine: for each usable vector its up to k most similar other ones.
 
     Similarity is the cosine in double precision, rounded to 9 decimals; ties go to the smaller id, and only
     neighbours of at least `least` stay. Usable is a vector of `dim` elements, all finite, not all zero; a
     repeated id with the same vector counts once, and null ids are left out. Equal vectors are searched for as one; each of
-    them gets its own rows. A few neighbours may be missed (see `trees` and `leaf`); none is wrong.
+    them gets its own rows. The cosines are exact, but a neighbour may be missed, and one further off then takes its place;
+    more `trees` and more candidates (`wanted`, over all trees) miss fewer. A table of at most `most` vectors is compared whole.
     Other columns are ignored; an empty table gives an empty result.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
     rows = usable_vectors(df, id_col, embedding_col, dim).withColumn("vid", F.xxhash64("embedding"))
     classes = materialize(rows.groupBy("vid").agg(F.first("embedding").alias("embedding"), F.min("id").alias("first")), "vectors")
     kind = classes.schema["embedding"].dataType.simpleString()
     total = classes.count()
-    sample = classes.orderBy(F.xxhash64("vid")).limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+    trees = trees if total > most else 1
+    # Chosen by a hash, so no task holds more than its share of the sample.
+    share = min(1.0, SAMPLE / max(total, 1))
+    sample = classes.where(F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) < F.lit(round(share * (1 << 30)))).select("embedding").toArrow().column(0).combine_chunks()
+    asked = wanted * len(sample) / max(total, 1)
     stretches = max(1, min(-(-total // STRETCH), SAMPLE // 8))
-    plan = []
-    if total:
-        unit = _unit(sample, dim).astype(np.float32)
-        at = np.arange(1, stretches) * len(unit) // stretches
-        for tree in range(trees):
-            middles = _middles(unit, tree, max(LEAST_SAMPLED, leaf * len(unit) / total))
-            plan.append((np.sort(_strings(unit, tree, middles))[at], middles))
-    plan = context.broadcast(plan)
+    plan = spark.sparkContext.broadcast(_plan(_unit(sample, dim).astype(np.float32), trees, stretches, asked, max(LEAST_SAMPLED, asked / trees)) if len(sample) else [])
 
     def forest(vectors: DataFrame, rounded: bool, columns: str, found: str) -> DataFrame:
-        planted = vectors.mapInArrow(_plant(dim, trees, plan, rounded), f"stretch int, string binary, {columns}")
-        return planted.repartition("stretch").sortWithinPartitions("stretch", "string", F.xxhash64("vid", "stretch")).mapInArrow(_search(dim, leaf, rounded, least, k), found)
+        planted = vectors.mapInArrow(_plant(dim, plan, asked if rounded else CROWDED * asked, rounded), f"stretch int, string binary, depth short, {columns}")
+        parts = total * trees * (dim + 48) // PARTITION
+        spread = planted.repartition(parts, "stretch") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else planted.repartition("stretch")
+        return spread.sortWithinPartitions("stretch", "string", F.xxhash64("vid", "stretch")).mapInArrow(_search(dim, most, rounded, least, k), found)
 
     near = forest(classes.select("vid", "embedding"), True, "vid bigint, code binary, error float", "a bigint, b bigint, near float, error float")
     near = materialize(near.groupBy("a", "b").agg(F.first("near").alias("near"), F.first("error").alias("error")), "near")
