@@ -22,6 +22,7 @@ times the candidates, and each cell gives the k best exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -64,6 +65,7 @@ class Tree(NamedTuple):
     further: np.ndarray
 
 
+@lru_cache(maxsize=1024)
 def _turned(seed: int, dim: int, width: int) -> np.ndarray:
     """`width` planes, orthogonal as far as the dimension allows."""
     rng = np.random.default_rng(seed)

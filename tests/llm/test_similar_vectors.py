@@ -7,11 +7,11 @@ import pytest
 from quillstore.llm import similar_vectors as forest
 from quillstore.llm.similar_vectors import neighbour_pairs, similar_vectors
 
-SCHEMA = "id string, embedding array<float>, vid string, cosine string"
-
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, None if x is None else [None if v is None else float(v) for v in x], "", "") for i, x in rows], SCHEMA).repartition(4)
+    embeddings = [None if x is None else [None if v is None else float(v) for v in x] for _, x in rows]
+    columns = [pa.array([i for i, _ in rows], pa.string()), pa.array(embeddings, pa.list_(pa.float32())), pa.array([""] * len(rows)), pa.array([""] * len(rows))]
+    return spark.createDataFrame(pa.table(columns, ["id", "embedding", "vid", "cosine"])).repartition(4)
 
 
 def brute(rows, k, least):
