@@ -46,8 +46,8 @@ STRETCHES, DONE = 1 << 20, 999
 LEAST_SAMPLED = 8
 #: Candidates of a vector in a cell above which they are compared there, unrounded, instead of pair by pair afterwards.
 KEEP = 32
-#: Vectors that are compared with a cell at once.
-ROWS = 1 << 8
+#: Pairs of which the cosines are held at once.
+BLOCK = 1 << 21
 #: Bytes of a partition of planted vectors, about.
 PARTITION = 128 << 20
 #: What float32 adds to the rounding of cosines; vectors of one direction are equal in unit coordinates of this grid,
@@ -260,9 +260,9 @@ def _parted(unit: np.ndarray, most: int, rng: np.random.Generator) -> Iterator[n
 
 def _may_be_best(unit: np.ndarray, error: np.ndarray, who: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, cosine) of the pairs of a cell, with i in `who`, of which j may be among the k best of i, and the vectors to be compared unrounded."""
-    keep, crowd, found = max(KEEP, k), np.zeros(len(unit), bool), []
-    for at in range(0, len(who), ROWS):
-        own = who[at : at + ROWS]
+    keep, crowd, found, rows = max(KEEP, k), np.zeros(len(unit), bool), [], max(1, BLOCK // len(unit))
+    for at in range(0, len(who), rows):
+        own = who[at : at + rows]
         s = unit[own] @ unit.T
         s[np.arange(len(own)), own] = -4
         i, j = np.nonzero(s >= least - 2 * error.max())
@@ -287,9 +287,9 @@ def _may_be_best(unit: np.ndarray, error: np.ndarray, who: np.ndarray, least: fl
 
 def _best(unit: np.ndarray, who: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, cosine) of the k best others j of each i in `who`; ties go to the one that stands first."""
-    found, k = [], min(k, len(unit) - 1)
-    for at in range(0, len(who), ROWS):
-        own = who[at : at + ROWS]
+    found, k, rows = [], min(k, len(unit) - 1), max(1, BLOCK // len(unit))
+    for at in range(0, len(who), rows):
+        own = who[at : at + rows]
         s = np.round(unit[own] @ unit.T, 9)
         s[np.arange(len(own)), own] = -4
         kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
