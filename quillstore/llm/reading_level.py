@@ -2,10 +2,12 @@
 
 The familiar words of a language are those that stand in many of its plainest documents: by document frequencies, over
 the whole corpus, in the PLAIN_SHARE of the documents with the shortest sentences. Words that all documents use, but
-plain ones seldom do, are so kept off the list. What language a text has is told by the document frequencies too; the
-column with the language only serves to collect these, as it may be missing or wrong.
+plain ones seldom do, are so kept off the list. Every distinct text counts once in all frequencies, however many copies
+it has. What language a text has is told by document frequencies too; the column with the language only serves to
+collect these, as it may be missing or wrong.
 
-How the two figures turn into a level is fitted to the graders' levels, a multinomial logistic regression.
+Texts are measured once: their distinct words, with counts, and sentence lengths are written, and all that follows
+works on these. How the two figures turn into a level is fitted to the graders' levels, a multinomial logistic regression.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +27,14 @@ from quillstore.sources.tables import materialize
 
 #: Part of a language's documents that counts as plain, and the part of these that a familiar word stands in.
 PLAIN_SHARE, FAMILIAR_SHARE = 0.1, 0.3
-#: A language needs this part of all documents, a word this part of the language's, to tell the language of a text.
-LEAST_LANGUAGE, LEAST_WORD = 0.005, 0.01
+#: A word needs this part of a language's documents to tell the language of a text, and a language this many documents.
+LEAST_WORD, LEAST_DOCS = 0.01, 30
+#: Codes whose frequencies point in one direction, up to this cosine, are names of one language.
+SAME_LANGUAGE = 0.8
 #: Labelled documents that the regression is fitted to; more are sampled by a hash of the id.
 MAX_LABELLED = 50_000
-#: Sentence lengths are binned by this many words when the plain documents are sought.
-BIN = 0.25
+#: Sentence lengths are binned by this many words when the plain documents are sought; longer ones than BINS bins are as long.
+BIN, BINS = 0.25, 4000
 #: Sentences of fewer words (remains of lists and markup) don't count in the average.
 LEAST_SENTENCE = 3
 
@@ -38,21 +43,30 @@ _LINK = re.compile(r"\[\[[^\]]*\]\]|\]\([^)]*\)|https?://\S+")
 _HEADING = re.compile(r"^[ \t]*#+ .*$", re.M)
 _END = re.compile(r"[.!?…。]+(?=\s|\Z)|\n\s*\n|\n(?=\s*(?:[-*+>]|\d+\.)\s)")
 _TOKEN = regex.compile(r"\p{L}+|\x00")
+_ASCII_TOKEN = re.compile("[a-z]+|\x00")
+
+
+def _tokens(text: str) -> list[str]:
+    """The lower-cased words of a text, and its marks."""
+    if text.isascii():
+        return _ASCII_TOKEN.findall(text.lower())
+    low = text.lower()
+    return _TOKEN.findall(low) if len(low) == len(text) else [t.lower() for t in _TOKEN.findall(text)]
 
 
 def _measure(text: str, least: int) -> tuple[list[str], float] | None:
     """(lower-cased words, average sentence length) of the prose in a text; of the whole text if nothing else has words. None for fewer than `least` words in the whole text."""
     prose = _CODE.sub("\n\n", text) if "```" in text else text
     prose = _HEADING.sub("\n\n", _LINK.sub(" ", prose)) if any(x in prose for x in ("[[", "](", "http", "#")) else prose
-    tokens = _TOKEN.findall(_END.sub(" \0 ", prose.replace("\0", " ")))
+    tokens = _tokens(_END.sub(" \0 ", prose.replace("\0", " ")))
     marks = [i for i, t in enumerate(tokens) if t == "\0"]
     if len(tokens) - len(marks) < least:
-        every = _TOKEN.findall(text.replace("\0", " "))
+        every = _tokens(text.replace("\0", " "))
         if len(every) < least:
             return None
         if len(tokens) == len(marks):
             tokens, marks = every, []
-    words, lengths, begin = [t.lower() for t in tokens if t != "\0"], [], 0
+    words, lengths, begin = [t for t in tokens if t != "\0"], [], 0
     for i in [*marks, len(tokens)]:
         if i > begin:
             lengths.append(i - begin)
@@ -61,103 +75,152 @@ def _measure(text: str, least: int) -> tuple[list[str], float] | None:
     return words, sum(whole) / max(len(whole), 1)
 
 
-def _frequencies(least: int):
-    """(lang, bin, word, n): document frequencies by the language stated and the bin of the sentence length; word null counts the documents."""
+def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes, dtype=np.int64)), pa.int32()), pa.array(values, kind))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int], Counter] = {}
 
-        def rows() -> pa.RecordBatch:
-            found = [(lang, at, word, n) for (lang, at), words in counts.items() for word, n in words.items()]
-            columns = list(zip(*found)) or [()] * 4
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "bin", "word", "n"])
+def _measured(least: int):
+    """(doc_id, lang, fp, n_words, sentence_length, words, counts) of each document with enough words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            kept, total, length, sizes, words, counts = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
                 measured = _measure(text, least)
-                if measured is None:
-                    continue
-                words, length = measured
-                counter = counts.setdefault((lang, int(length / BIN)), Counter())
-                counter.update(set(words))
-                counter[None] += 1
-            if sum(map(len, counts.values())) > 500_000:
-                yield rows()
-        yield rows()
+                if measured is not None:
+                    found = Counter(measured[0])
+                    kept.append(i)
+                    total.append(len(measured[0]))
+                    length.append(measured[1])
+                    sizes.append(len(found))
+                    words += found.keys()
+                    counts += found.values()
+            given = [batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)]
+            columns = [*given, pa.array(total, pa.int32()), pa.array(length, pa.float64()), _lists(words, sizes, pa.string()), _lists(counts, sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "fp", "n_words", "sentence_length", "words", "counts"])
 
     return run
 
 
-def _features(lists, least: int):
+class _Profiles:
+    """Languages, the share of each language's documents that a word stands in, and which words are familiar in it."""
+
+    def __init__(self, shares: dict[tuple[str, str], float], familiar: set[tuple[str, str]] = frozenset()) -> None:
+        self.langs = sorted({lang for lang, _ in shares})
+        self.words = sorted({word for _, word in shares} | {word for _, word in familiar})
+        at, lang_at = {w: i for i, w in enumerate(self.words)}, {x: i for i, x in enumerate(self.langs)}
+        # The last row is for words that are in no list.
+        self.share = np.zeros((len(self.words) + 1, len(self.langs)))
+        self.familiar = np.zeros((len(self.words) + 1, len(self.langs)), bool)
+        for (lang, word), x in shares.items():
+            self.share[at[word], lang_at[lang]] = x
+        for lang, word in familiar:
+            self.familiar[at[word], lang_at[lang]] = True
+
+    def rows_of(self, words: pa.Array) -> np.ndarray:
+        return pc.fill_null(pc.index_in(words, pa.array(self.words, pa.string())), len(self.words)).to_numpy(zero_copy_only=False)
+
+    def told(self, rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The number of each text's language; of equals, the first by name."""
+        return np.round(np.add.reduceat(self.share[rows], begins, axis=0), 9).argmax(axis=1)
+
+    def names(self, told: np.ndarray) -> pa.Array:
+        return pa.array(self.langs, pa.string()).take(pa.array(told))
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words and counts of a batch, and where each text's begin. Every text has words."""
+    words, counts = batch.column("words"), batch.column("counts")
+    return words.flatten(), counts.flatten().to_numpy(), words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+
+
+def _told(profiles):
+    """(lang, bin, words): the language that the words tell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: _Profiles = profiles.value
+        for batch in batches:
+            if len(batch):
+                words, _, begins = _flat(batch)
+                bins = np.minimum(batch.column("sentence_length").to_numpy() / BIN, BINS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([known.names(known.told(known.rows_of(words), begins)), pa.array(bins), batch.column("words")], ["lang", "bin", "words"])
+
+    return run
+
+
+def _shares(profiles):
     """(doc_id, n_words, lang, sentence_length, unfamiliar) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, profile, familiar = lists.value
+        known: _Profiles = profiles.value
         for batch in batches:
-            kept, count, lang, length, share = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                measured = _measure(text, least)
-                if measured is None:
-                    continue
-                words, average = measured
-                scores = [0.0] * len(langs)
-                for hits in map(profile.get, set(words)):
-                    for k, x in hits or ():
-                        scores[k] += x
-                best = max(range(len(langs)), key=scores.__getitem__, default=None)
-                known = familiar[best] if best is not None else frozenset()
-                kept.append(i)
-                count.append(len(words))
-                lang.append(langs[best] if best is not None else None)
-                length.append(average)
-                share.append(sum(w not in known for w in words) / max(len(words), 1))
-            columns = [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(count, pa.int32()), pa.array(lang, pa.string()), pa.array(length, pa.float64()), pa.array(share, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "lang", "sentence_length", "unfamiliar"])
+            if not len(batch):
+                continue
+            words, counts, begins = _flat(batch)
+            lang, share = pa.nulls(len(batch), pa.string()), np.ones(len(batch))
+            if known.langs:
+                rows = known.rows_of(words)
+                told = known.told(rows, begins)
+                each = np.repeat(told, np.diff(np.append(begins, len(counts))))
+                lang, share = known.names(told), np.add.reduceat(counts * ~known.familiar[rows, each], begins) / np.add.reduceat(counts, begins)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), lang, batch.column("sentence_length"), pa.array(share)], ["doc_id", "n_words", "lang", "sentence_length", "unfamiliar"])
 
     return run
 
 
+def _one_name_each(shares: dict[tuple[str, str], float], docs: dict[str, int]) -> dict[tuple[str, str], float]:
+    """The shares of languages, without codes that are other names of one with more documents."""
+    rows = _Profiles(shares)
+    length = np.maximum(np.linalg.norm(rows.share, axis=0), 1e-300)
+    alike, kept = (rows.share.T @ rows.share) / length[:, None] / length, []
+    for i in sorted(range(len(rows.langs)), key=lambda i: (-docs[rows.langs[i]], rows.langs[i])):
+        if all(alike[i, k] < SAME_LANGUAGE for k in kept):
+            kept.append(i)
+    names = {rows.langs[i] for i in kept}
+    return {key: x for key, x in shares.items() if key[0] in names}
+
+
 def text_features(df: DataFrame, id_col: str, text_col: str, lang_col: str, least_words: int = 60) -> DataFrame:
     """doc_id, n_words, lang, sentence_length, unfamiliar of each text with at least `least_words` words (runs of letters).
 
     n_words counts the words of the prose, that is without code, links and headings, unless there are no others.
-    Null texts have no words. lang is the language that the document frequencies tell, null if no language is stated often
-    enough anywhere. Repeated rows give a row each; other columns are ignored.
+    Null texts have no words. lang is the language that the document frequencies tell, of those that at least LEAST_DOCS
+    distinct texts state (by the whole first part of the code, in lower case); null if there is none, and all words are unfamiliar
+    then. Codes that have the same words are one language. Repeated rows give a row each; other columns are ignored.
     """
-    docs = (
-        df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("lang"))
-        .where(F.length("text") >= 2 * least_words - 1)
-    )
-    stated = docs.select("text", F.lower(F.substring("lang", 1, 2)).alias("lang")).where("lang rlike '^[a-z][a-z]$'")
-    counted = stated.mapInArrow(_frequencies(least_words), "lang string, bin int, word string, n bigint").groupBy("lang", "bin", "word").agg(F.sum("n").alias("n"))
-    counted = materialize(counted, "frequencies")
-    bins = counted.where("word is null").groupBy("lang", "bin").agg(F.sum("n").alias("docs"))
-    below = Window.partitionBy("lang").orderBy("bin")
-    bins = bins.withColumn("before", F.coalesce(F.sum("docs").over(below.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("docs").over(Window.partitionBy("lang")))
-    plain = bins.withColumn("plain", F.col("before") < F.lit(PLAIN_SHARE) * F.col("all"))
-    sizes = plain.groupBy("lang").agg(F.max("all").alias("all"), F.sum(F.when(F.col("plain"), F.col("docs"))).alias("of_plain"))
-    total = sizes.agg(F.sum("all")).first()[0] or 0
-    sizes = sizes.where(F.col("all") >= LEAST_LANGUAGE * total)
-    words = (
-        counted.where("word is not null")
-        .join(plain.select("lang", "bin", "plain"), ["lang", "bin"])
-        .groupBy("lang", "word")
-        .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("plain"), F.col("n")).otherwise(0)).alias("n_plain"))
-        .join(sizes, "lang")
-        .select("lang", "word", (F.col("n") / F.col("all")).alias("share"), (F.col("n_plain") / F.col("of_plain")).alias("plain_share"))
-        .where((F.col("share") >= LEAST_WORD) | (F.col("plain_share") >= FAMILIAR_SHARE))
-    )
-    # A text has a bounded number of different words on average, so only so many can stand in a hundredth of the texts.
-    rows = words.orderBy("lang", "word").collect()
-    langs = sorted({r.lang for r in rows})
-    profile: dict[str, list[tuple[int, float]]] = {}
-    for r in rows:
-        profile.setdefault(r.word, []).append((langs.index(r.lang), r.share))
-    familiar = [frozenset(r.word for r in rows if r.lang == lang and r.plain_share >= FAMILIAR_SHARE) for lang in langs]
-    lists = df.sparkSession.sparkContext.broadcast((langs, profile, familiar))
+    spark = df.sparkSession
+    code = F.nullif(F.lower(F.trim(F.split(df[lang_col].cast("string"), "[-_]")[0])), F.lit(""))
+    docs = df.select(df[id_col].alias("doc_id"), code.alias("lang"), F.xxhash64(df[text_col]).alias("fp"), df[text_col].alias("text")).where(F.length("text") >= 2 * least_words - 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_features(lists, least_words), f"doc_id {kind}, n_words int, lang string, sentence_length double, unfamiliar double")
+    measured = materialize(docs.mapInArrow(_measured(least_words), f"doc_id {kind}, lang string, fp bigint, n_words int, sentence_length double, words array<string>, counts array<int>"), "measured")
+    # One row of each distinct text; the others are dropped before the shuffle.
+    once = measured.withColumn("copy", F.row_number().over(Window.partitionBy("fp").orderBy("doc_id", "lang"))).where("copy = 1")
+    once = materialize(once.select("lang", "sentence_length", "words", "counts"), "distinct")
+
+    stated = once.where("lang is not null")
+    sizes = {r.lang: r.n for r in stated.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).collect()}  # a row per language
+    # A text has a bounded number of different words on average, so only so many can stand in a hundredth of the texts.
+    shares = {}
+    if sizes:
+        of = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))
+        counted = stated.where(F.col("lang").isin(*sizes)).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        common = counted.withColumn("share", F.col("n") / of[F.col("lang")]).where(F.col("share") >= LEAST_WORD)
+        shares = _one_name_each({(r.lang, r.word): r.share for r in common.orderBy("lang", "word").collect()}, sizes)
+    familiar: set[tuple[str, str]] = set()
+    if shares:
+        told = once.mapInArrow(_told(spark.sparkContext.broadcast(_Profiles(shares))), "lang string, bin int, words array<string>")
+        limits: dict[str, tuple[int, int]] = {}
+        # Up to which bin a language's documents are plain, and how many that are; a row per language and bin.
+        for r in told.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(told.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("m")), "lang").orderBy("lang", "bin").collect():
+            before = limits.get(r.lang, (-1, 0))[1]
+            if before < PLAIN_SHARE * r.n:
+                limits[r.lang] = (r.bin, before + r.m)
+        limit = F.create_map(*(F.lit(x) for lang, (at, _) in limits.items() for x in (lang, at)))
+        plain = told.where(F.col("bin") <= limit[F.col("lang")]).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        least = F.create_map(*(F.lit(x) for lang, (_, n) in limits.items() for x in (lang, FAMILIAR_SHARE * n)))
+        familiar = {(r.lang, r.word) for r in plain.where(F.col("n") >= least[F.col("lang")]).select("lang", "word").collect()}
+    profiles = spark.sparkContext.broadcast(_Profiles(shares, familiar))
+    return measured.mapInArrow(_shares(profiles), f"doc_id {kind}, n_words int, lang string, sentence_length double, unfamiliar double")
 
 
 def _design(langs: list[str], lang: np.ndarray, length: np.ndarray, share: np.ndarray) -> np.ndarray:

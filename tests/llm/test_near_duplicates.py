@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
+from quillstore.llm import near_duplicates as near
 from quillstore.llm.near_duplicates import expand_pairs, linked_members, near_duplicates
 from quillstore.llm.shingles import shingle_sets, slices, word_hashes
 
@@ -49,6 +52,27 @@ def test_pairs_are_those_of_brute_force(spark, k, threshold, least, vocabulary):
     assert found(spark, texts.items(), words=k, threshold=threshold, least=least) == brute(texts, k, threshold, least)
 
 
+@pytest.mark.parametrize("known", [0, 30, 300])
+def test_the_way_of_the_lengths_changes_nothing(spark, known):
+    """Without room for the lengths of the lists, they are joined; with room for some, lists up to LONG stay unknown."""
+    texts = corpus(9, 300, 60)
+    how = dict(words=2, threshold=0.5, least=3)
+    assert found(spark, texts.items(), known=known, **how) == brute(texts, 2, 0.5, 3)
+
+
+def test_frequencies_are_exact_and_the_longest_lists_are_known(spark):
+    texts = {f"c{i}": " ".join(["common words here", *(f"u{i}x{j}" for j in range(5)), f"pair{i // 2} a b"]) for i in range(400)}
+    rows = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(5)
+    frequencies = near._shingle_frequencies(rows, 3)
+    least, keys, codes = near._known_lengths(frequencies, 1 << 22)
+    want = Counter(g for s in sets(texts, 3).values() for g in s)
+    assert least == 2 and len(keys) == sum(n > 1 for n in want.values())
+    assert Counter(codes.tolist()) == Counter(int(2 * np.log2(n)) for n in want.values() if n > 1)
+    assert (np.diff(keys.astype(object)) > 0).all()
+    least, keys, codes = near._known_lengths(frequencies, 10)
+    assert len(keys) <= 10 and codes.min() == codes.max() == int(2 * np.log2(400)) == least
+
+
 def test_dirty_rows(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [("a", None), ("b", ""), ("c", "one two"), (None, "x " * 50), ("d", long), ("e", long + " end"), ("d", long), ("f", "Ünïcode 日本 " * 3)]
