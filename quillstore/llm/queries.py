@@ -12,7 +12,7 @@ from quillstore.llm.leakage import leaked_documents, leaked_items
 from quillstore.llm.near_duplicates import expand_pairs, linked_members, named_pairs, near_duplicates
 from quillstore.llm.reading_level import level_profile, reading_levels
 from quillstore.llm.similar_vectors import neighbour_pairs, similar_vectors
-from quillstore.llm.splitting import split_oversized
+from quillstore.llm.splitting import pieces_laid_out, split_oversized
 from quillstore.sources.tables import read_table
 
 #: Where the public vocabulary lies; a parameter of p6_ids.
@@ -61,8 +61,15 @@ def p4_pieces(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, base: str) -> DataFrame:
-    items = p4_pieces(spark, base).where("item_id is not null").groupBy("src_table", "item_id", "limit").agg(F.max("longest_run").alias("run"))
-    return items.select("src_table", "item_id", F.when(F.col("run") > F.col("limit"), "forced").otherwise("natural").alias("cut"))
+    """Forced is an item of which a piece begins inside a run that no piece could hold."""
+    items = p4_pieces(spark, base).where("item_id is not null").groupBy("src_table", "item_id").agg(F.max(F.col("run") > F.col("limit")).alias("forced"))
+    return items.select("src_table", "item_id", F.when(F.col("forced"), "forced").otherwise("natural").alias("cut"))
+
+
+def p4_laid_out(spark: SparkSession, base: str) -> DataFrame:
+    """The pieces laid end to end are the texts, none is too long, and each begins with the 200 characters before it."""
+    laid = pieces_laid_out(p4_pieces(spark, base).where("item_id is not null"), ["src_table", "item_id"], "limit")
+    return laid.select("src_table", "item_id", "digest", "n_chars", "fits", "overlaps")
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
@@ -159,7 +166,7 @@ dp AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
 SELECT DISTINCT item_id, doc_id FROM ip JOIN dp USING (n, g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_class_pairs": p2_class_pairs, "p2_simhash": p2_simhash, "p2_documents": p2_documents, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents, "p8_found": p8_found, "p8_profile": p8_profile}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_class_pairs": p2_class_pairs, "p2_simhash": p2_simhash, "p2_documents": p2_documents, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_laid_out": p4_laid_out, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_documents": p7_documents, "p8_found": p8_found, "p8_profile": p8_profile}
 SQL = {
     "p2_found": P2_SQL,
     "p2_classes": P2_CLASSES_SQL,
@@ -167,6 +174,8 @@ SQL = {
     "p2_simhash": P2_SIMHASH_SQL,
     "p2_documents": P2_DOCUMENTS_SQL,
     "p4_found": P4_SQL,
+    "p4_laid_out": """SELECT DISTINCT src_table, item_id, md5(x) AS digest, CAST(length(x) AS INTEGER) AS n_chars, true AS fits, true AS overlaps
+FROM (SELECT 'pages' AS src_table, id AS item_id, compiled_truth AS x, 5000 AS n FROM pages UNION ALL SELECT 'chunks', id, body, 2000 FROM chunks) WHERE length(x) > n AND item_id IS NOT NULL""",
     "p5_found": P5_SQL,
     "p7_found": P7_SQL,
     "p7_documents": f"SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items, count(*) AS n_items FROM ({P7_SQL}) GROUP BY doc_id",
