@@ -75,16 +75,12 @@ def _measure(text: str, least: int) -> tuple[list[str], float] | None:
     return words, sum(whole) / max(len(whole), 1)
 
 
-def _lists(values: list, sizes: list[int], kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes, dtype=np.int64)), pa.int32()), pa.array(values, kind))
-
-
 def _measured(least: int):
-    """(doc_id, lang, fp, n_words, sentence_length, words, counts) of each document with enough words."""
+    """(doc_id, lang, fp, n_words, sentence_length, words, counts) of each document with enough words: its distinct words in one string, and the bytes of their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, total, length, sizes, words, counts = [], [], [], [], [], []
+            kept, total, length, words, counts = [], [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 measured = _measure(text, least)
                 if measured is not None:
@@ -92,11 +88,10 @@ def _measured(least: int):
                     kept.append(i)
                     total.append(len(measured[0]))
                     length.append(measured[1])
-                    sizes.append(len(found))
-                    words += found.keys()
-                    counts += found.values()
+                    words.append(" ".join(found))
+                    counts.append(np.fromiter(found.values(), "<i4", len(found)).tobytes())
             given = [batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)]
-            columns = [*given, pa.array(total, pa.int32()), pa.array(length, pa.float64()), _lists(words, sizes, pa.string()), _lists(counts, sizes, pa.int32())]
+            columns = [*given, pa.array(total, pa.int32()), pa.array(length, pa.float64()), pa.array(words, pa.string()), pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "fp", "n_words", "sentence_length", "words", "counts"])
 
     return run
@@ -130,8 +125,8 @@ class _Profiles:
 
 def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """All words and counts of a batch, and where each text's begin. Every text has words."""
-    words, counts = batch.column("words"), batch.column("counts")
-    return words.flatten(), counts.flatten().to_numpy(), words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+    words = pc.split_pattern(batch.column("words"), " ")
+    return words.flatten(), np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4"), words.offsets.to_numpy()[:-1]
 
 
 def _told(profiles):
@@ -188,14 +183,14 @@ def text_features(df: DataFrame, id_col: str, text_col: str, lang_col: str, leas
     distinct texts state (by the whole first part of the code, in lower case); null if there is none, and all words are unfamiliar
     then. Codes that have the same words are one language. Repeated rows give a row each; other columns are ignored.
     """
-    spark = df.sparkSession
+    spark, least_words = df.sparkSession, max(least_words, 1)
     code = F.nullif(F.lower(F.trim(F.split(df[lang_col].cast("string"), "[-_]")[0])), F.lit(""))
     docs = df.select(df[id_col].alias("doc_id"), code.alias("lang"), F.xxhash64(df[text_col]).alias("fp"), df[text_col].alias("text")).where(F.length("text") >= 2 * least_words - 1)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = materialize(docs.mapInArrow(_measured(least_words), f"doc_id {kind}, lang string, fp bigint, n_words int, sentence_length double, words array<string>, counts array<int>"), "measured")
+    measured = materialize(docs.mapInArrow(_measured(least_words), f"doc_id {kind}, lang string, fp bigint, n_words int, sentence_length double, words string, counts binary"), "measured")
     # One row of each distinct text; the others are dropped before the shuffle.
     once = measured.withColumn("copy", F.row_number().over(Window.partitionBy("fp").orderBy("doc_id", "lang"))).where("copy = 1")
-    once = materialize(once.select("lang", "sentence_length", "words", "counts"), "distinct")
+    once = materialize(once.select("lang", "sentence_length", "words"), "distinct")
 
     stated = once.where("lang is not null")
     sizes = {r.lang: r.n for r in stated.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_DOCS).collect()}  # a row per language
@@ -203,20 +198,24 @@ def text_features(df: DataFrame, id_col: str, text_col: str, lang_col: str, leas
     shares = {}
     if sizes:
         of = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))
-        counted = stated.where(F.col("lang").isin(*sizes)).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        counted = stated.where(F.col("lang").isin(*sizes)).select("lang", F.explode(F.split("words", " ")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
         common = counted.withColumn("share", F.col("n") / of[F.col("lang")]).where(F.col("share") >= LEAST_WORD)
         shares = _one_name_each({(r.lang, r.word): r.share for r in common.orderBy("lang", "word").collect()}, sizes)
     familiar: set[tuple[str, str]] = set()
     if shares:
-        told = once.mapInArrow(_told(spark.sparkContext.broadcast(_Profiles(shares))), "lang string, bin int, words array<string>")
+        told = once.mapInArrow(_told(spark.sparkContext.broadcast(_Profiles(shares))), "lang string, bin int, words string")
+        bins = told.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "bin").collect()  # of each language BINS + 1 at most
+        docs_of = Counter()
+        for row in bins:
+            docs_of[row.lang] += row.n
+        # Up to which bin a language's documents are plain, and how many that are.
         limits: dict[str, tuple[int, int]] = {}
-        # Up to which bin a language's documents are plain, and how many that are; a row per language and bin.
-        for r in told.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(told.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("m")), "lang").orderBy("lang", "bin").collect():
-            before = limits.get(r.lang, (-1, 0))[1]
-            if before < PLAIN_SHARE * r.n:
-                limits[r.lang] = (r.bin, before + r.m)
+        for row in bins:
+            before = limits.get(row.lang, (-1, 0))[1]
+            if before < PLAIN_SHARE * docs_of[row.lang]:
+                limits[row.lang] = (row.bin, before + row.n)
         limit = F.create_map(*(F.lit(x) for lang, (at, _) in limits.items() for x in (lang, at)))
-        plain = told.where(F.col("bin") <= limit[F.col("lang")]).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+        plain = told.where(F.col("bin") <= limit[F.col("lang")]).select("lang", F.explode(F.split("words", " ")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
         least = F.create_map(*(F.lit(x) for lang, (_, n) in limits.items() for x in (lang, FAMILIAR_SHARE * n)))
         familiar = {(r.lang, r.word) for r in plain.where(F.col("n") >= least[F.col("lang")]).select("lang", "word").collect()}
     profiles = spark.sparkContext.broadcast(_Profiles(shares, familiar))
