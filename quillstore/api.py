@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstore.functions.text import links_in, valid_slug
+from quillstore.functions.text import is_slug, links_in, valid_slug
 from quillstore.operators import graph, retrieval, store
 from quillstore.sources.tables import read_table
 
@@ -44,7 +44,7 @@ class Store:
         return store.current_pages(self._table("pages"))
 
     def _slug(self, slug: Any) -> str:
-        if not isinstance(slug, str) or not self.spark.range(1).select(valid_slug(F.lit(slug))).first()[0]:
+        if not isinstance(slug, str) or not is_slug(slug):
             raise InvalidSlug(f"not a slug: {slug!r}")
         return slug
 
@@ -60,7 +60,7 @@ class Store:
         return row.asDict(recursive=True)
 
     def put_page(self, slug: str, body: str, title: str | None = None, scope: str | None = None, frontmatter: str | None = None) -> dict[str, Any]:
-        """Append the put and its vector. Links are a view of the log: those of the put before end at this one's instant."""
+        """Append the put and its vector, which replaces the one before. Links are a view of the log: those of the put before end at this one's instant."""
         self._slug(slug)
         if scope is not None and scope not in store.SCOPES:
             raise BadInput(f"unknown scope: {scope}")
@@ -68,7 +68,10 @@ class Store:
         put = self.spark.createDataFrame([(slug, body, title, scope, frontmatter)], "slug string, body string, title string, scope string, frontmatter string")
         store.append(store.put_pages(put, F.current_timestamp()), self.base, "pages")
         if vector is not None:
-            store.append(self.spark.createDataFrame([(slug, len(vector), [float(x) for x in vector])], store.SCHEMAS["vectors"]), self.base, "vectors")
+            if len(vector) != self.dim:
+                raise StoreError(f"a vector of dimension {len(vector)}, not {self.dim}")
+            row = self.spark.createDataFrame([(slug, len(vector), [float(x) for x in vector])], "id string, dim int, embedding array<float>")
+            store.append(row.withColumn("updated_at", F.current_timestamp()), self.base, "vectors")
         return {"ok": True, "slug": slug}
 
     def list_pages(self, tag: str | None = None, limit: Any = None) -> list[dict[str, Any]]:
@@ -80,7 +83,7 @@ class Store:
         if not query.strip() or limit == 0:
             return []
         embedding = self.embed(query) if self.embed else None
-        found = retrieval.search(self._current(), self._table("vectors"), query, embedding, limit, dim=self.dim)
+        found = retrieval.search(self._table("pages"), self._table("vectors"), query, embedding, limit, dim=self.dim, strict=True)
         return [{"slug": r.slug, "snippet": r.snippet} for r in found.orderBy("rank").collect()]
 
     def links(self) -> DataFrame:

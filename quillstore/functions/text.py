@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 _BLANKS = r"[ \t\n\r\f]"
 
 
+# The characters of queries and slugs, what marks a link, and the words that tell what a query is after.
 def sanitize(query: Column) -> Column:
     """Every run of characters outside A-Z a-z 0-9 _ ' - becomes one blank, without blanks at the ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(query, r"[^A-Za-z0-9_'\- ]+", " "), " +", " "))
@@ -24,6 +26,11 @@ def valid_slug(slug: Column) -> Column:
     return slug.rlike(r"\A[A-Za-z0-9_./-]+\z") & ~slug.startswith("/") & ~slug.endswith("/")
 
 
+def is_slug(slug: str) -> bool:
+    """`valid_slug` of one string on the driver."""
+    return re.fullmatch(r"[A-Za-z0-9_./-]+", slug) is not None and not slug.startswith("/") and not slug.endswith("/")
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_BLANKS}+|{_BLANKS}+\z", "")
 

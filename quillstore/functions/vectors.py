@@ -121,6 +121,12 @@ def matmul(a: DataFrame, b: DataFrame, batch: tuple[str, ...] = ()) -> DataFrame
     return left.join(right, [*batch, "k"]).groupBy(*batch, "i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
 
 
+def gram(df: DataFrame, array_col: str) -> DataFrame:
+    """i, j, value of A^T A for the matrix A whose rows are the arrays: products within each row, summed before the shuffle."""
+    rows = df.select(F.posexplode(doubles(F.col(array_col))).alias("i", "x"), doubles(F.col(array_col)).alias("y"))
+    return rows.select("i", "x", F.posexplode("y").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+
+
 def linear(x: DataFrame, weight: DataFrame, bias: DataFrame) -> DataFrame:
     """i, j, value of x W^T + b, from x (i, k, value), weight (j, k, value) and bias (j, bias)."""
     product = matmul(x, weight.select("k", "j", "value"))

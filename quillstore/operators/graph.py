@@ -44,9 +44,11 @@ def bfs_backlinks(links: DataFrame, anchor: str, max_depth: int) -> DataFrame:
     """slug, distance of the pages that lead to the anchor over current links in at most `max_depth` steps, by the fewest.
 
     The anchor itself is left out, and slugs that aren't valid are neither found nor followed. Each step joins the
-    frontier with the links and drops what has been reached; the frontier is written, so that the plan doesn't grow.
+    frontier with the links, which are told apart and written once, and drops what has been reached; the frontier is
+    written, so that the plan doesn't grow.
     """
-    edges = links.where("invalid_at is null and from_slug is not null").where(valid_slug(F.col("from_slug"))).select("from_slug", "to_slug").distinct()
+    edges = links.where("invalid_at is null and from_slug is not null and to_slug is not null").where(valid_slug(F.col("from_slug"))).select("from_slug", "to_slug").distinct()
+    edges = materialize(edges, "edges") if max_depth > 1 else edges
     start = links.sparkSession.range(1).select(F.lit(anchor).alias("slug"), F.lit(0).alias("distance"))
     reached, frontier = start, start
     for distance in range(1, max_depth + 1):
@@ -58,11 +60,11 @@ def bfs_backlinks(links: DataFrame, anchor: str, max_depth: int) -> DataFrame:
     return reached.where("distance > 0")
 
 
-def rerank_by_distance(hits: DataFrame, distances: DataFrame, boost: float) -> DataFrame:
-    """hits (slug, score, rank) with score * (1 + boost / (distance + 1)) where a distance is known, ranked anew; ties keep their order."""
+def rerank_by_distance(hits: DataFrame, distances: DataFrame, boost: float, limit: int) -> DataFrame:
+    """The best `limit` hits (slug, score, rank) by score * (1 + boost / (distance + 1)) where a distance is known, ranked anew; ties keep their order."""
     near = hits.join(distances, "slug", "left")
     score = F.when(F.col("distance").isNull(), F.col("score")).otherwise(F.col("score") * (1 + F.lit(boost) / (F.col("distance") + 1)))
-    ranked = near.select("slug", score.alias("score"), F.col("rank").alias("was"))
+    ranked = near.select("slug", score.alias("score"), F.col("rank").alias("was")).orderBy(F.desc("score"), "was").limit(limit)
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "was"))).drop("was")
 
 

@@ -3,7 +3,8 @@
 Each start is compared with the running maximum of the ends before it; where it lies beyond, a new island begins.
 An entity's rows are sorted in one task, unless they are many: entities whose hash falls into a slot with more than its
 share of all rows take a path in two levels, on which the running maximum is taken within time buckets of an entity, and
-over the buckets, of which an entity has no more than its time range holds. Both paths give the same rows.
+over the buckets. These are cut at quantiles of the slot's starts, so they hold about as many rows each, however close
+in time they lie; equal starts are added up before. Both paths give the same rows.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstore.functions.times import DAY_US, OPEN_US, micros
+from quillstore.functions.times import OPEN_US, micros
 
 
 def _col(df: DataFrame, name: str) -> Column:
@@ -22,11 +23,31 @@ def _col(df: DataFrame, name: str) -> Column:
 SLOTS, HOT_ROWS = 1 << 16, 500_000
 
 
-def _hot_slots(rows: DataFrame, hot_rows: int) -> list[int]:
-    """The slots with more than `hot_rows` rows and four times the mean of all slots."""
+#: Quantiles of a slot's starts, at which buckets may be cut.
+QUANTILES = 4096
+
+
+def _hot_slots(rows: DataFrame, hot_rows: int) -> dict[int, int]:
+    """The slots with more than `hot_rows` rows and four times the mean of all slots, and how many buckets each needs.
+
+    A bucket holds as many rows as make a slot hot, so all slots together have no more than SLOTS / 4 buckets and as many again.
+    """
     counts = rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     mean = F.sum("n").over(Window.partitionBy()) / SLOTS  # over one row per slot at most
-    return [r.slot for r in counts.withColumn("limit", F.greatest(F.lit(hot_rows), 4 * mean)).where("n > limit").select("slot").collect()]
+    hot = counts.withColumn("limit", F.greatest(F.lit(hot_rows), 4 * mean)).where("n > limit")
+    return {r.slot: min(int(r.n // max(r.limit, 1)) + 1, QUANTILES) for r in hot.collect()}
+
+
+def _bucketed(rows: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """The rows of hot slots with a bucket b, which grows with the start."""
+    quantiles = [i / QUANTILES for i in range(1, QUANTILES)]
+    cuts = {}
+    for r in rows.groupBy("slot").agg(F.approx_percentile("s", quantiles, 4 * QUANTILES).alias("cuts")).toLocalIterator():
+        cuts[r.slot] = sorted({r.cuts[len(r.cuts) * i // hot[r.slot]] for i in range(1, hot[r.slot])})
+    bounds = rows.sparkSession.createDataFrame(list(cuts.items()), "slot int, cuts array<bigint>")
+    # Binary search: the number of cuts up to the start.
+    place = F.expr("aggregate(sequence(1, 13), named_struct('low', 0, 'high', size(cuts)), (x, i) -> if(x.low < x.high, if(cuts[(x.low + x.high) div 2] <= s, named_struct('low', cast((x.low + x.high) div 2 + 1 as int), 'high', x.high), named_struct('low', x.low, 'high', cast((x.low + x.high) div 2 as int))), x), x -> x.low)")
+    return rows.join(F.broadcast(bounds), "slot").withColumn("b", place).drop("cuts")
 
 
 def _in_one_level(rows: DataFrame, names: list[str], row_id: bool) -> DataFrame:
@@ -44,13 +65,12 @@ def _in_one_level(rows: DataFrame, names: list[str], row_id: bool) -> DataFrame:
     return labelled.groupBy(*names, "from_us").agg(F.max("e").alias("to_us"), F.sum("n").alias("n_rows"), F.max(F.when(F.col("opens"), F.col("prev"))).alias("gap_from_us"))
 
 
-def _in_two_levels(rows: DataFrame, names: list[str], row_id: bool, bucket_us: int) -> DataFrame:
+def _in_two_levels(rows: DataFrame, names: list[str], row_id: bool, hot: dict[int, int]) -> DataFrame:
     """Islands of entities of any size."""
     part = [*names, "b"]
-    rows = rows.withColumn("b", F.floor(F.col("s") / F.lit(bucket_us))).repartition(*part)
     if row_id:
-        rows = rows.dropDuplicates([*part, "s", "e", "rid"])
-    starts = rows.groupBy(*part, "s").agg(F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
+        rows = rows.dropDuplicates(["slot", *names, "s", "e", "rid"])
+    starts = _bucketed(rows.groupBy("slot", *names, "s").agg(F.max("e").alias("e"), F.count(F.lit(1)).alias("n")), hot)
     earlier = Window.partitionBy(*names).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     reach = starts.groupBy(*part).agg(F.max("e").alias("reach")).withColumn("reach", F.max("reach").over(earlier))
     within = Window.partitionBy(*part).orderBy("s")
@@ -70,7 +90,7 @@ def _in_two_levels(rows: DataFrame, names: list[str], row_id: bool, bucket_us: i
     )
 
 
-def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, row_id: str | None = None, bucket_us: int = 7 * DAY_US, hot_rows: int = HOT_ROWS) -> DataFrame:
+def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, row_id: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per continuous period: k1..kn, from_us, to_us, n_rows, gap_from_us.
 
     An interval holds its start and not its end; a null end is open (`to_us` = OPEN_US). Intervals that overlap or
@@ -92,8 +112,10 @@ def interval_islands(df: DataFrame, keys: list[str], start: str, end: str, row_i
         usable = usable & F.col(n).isNotNull()
     rows = rows.where(usable).withColumn("slot", F.pmod(F.xxhash64(*names), F.lit(SLOTS)).cast("int"))
     hot = _hot_slots(rows, hot_rows)
-    cold = _in_one_level(rows.where(~F.col("slot").isin(hot)) if hot else rows, names, row_id is not None)
-    return cold.unionByName(_in_two_levels(rows.where(F.col("slot").isin(hot)), names, row_id is not None, bucket_us)) if hot else cold
+    if not hot:
+        return _in_one_level(rows, names, row_id is not None)
+    is_hot = F.col("slot").isin(*hot)
+    return _in_one_level(rows.where(~is_hot), names, row_id is not None).unionByName(_in_two_levels(rows.where(is_hot), names, row_id is not None, hot))
 
 
 def periods_and_gaps(islands: DataFrame, least_rows: int = 1) -> DataFrame:

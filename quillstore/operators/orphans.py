@@ -77,11 +77,11 @@ def orphan_references(references: DataFrame, records: DataFrame, n_ranges: int =
 
     # Only islands that begin or end within the month can cover a part of it.
     ends = F.array_distinct(F.array(month_of(F.col("from_us")), F.when(F.col("to_us") < OPEN_US, month_of(F.col("to_us"))).otherwise(month_of(F.col("from_us")))))
-    partly = islands.select("ns", "key", "from_us", "to_us", F.explode(ends).alias("m")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("ns", "key", "m")))
+    partly = islands.select("ns", "key", "from_us", "to_us", F.explode(ends).alias("m"))
+    many = partly.groupBy("ns", "key", "m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_LIVES).select("ns", "key", "m", F.lit(True).alias("many"))
     first, last = F.greatest("from_us", month_start(F.col("m"))), F.least(F.col("to_us"), month_start(F.col("m") + 1)) - 1
-    slots = F.when(F.col("n") > FEW_LIVES, F.sequence(_slot(first, F.col("m")), _slot(last, F.col("m")))).otherwise(F.array(F.lit(-1)))
-    lives_at = partly.select("ns", "key", "m", F.struct("from_us", "to_us").alias("life"), F.explode(slots).alias("slot")).groupBy("ns", "key", "m", "slot").agg(F.collect_list("life").alias("lives"))
-    many = partly.where(F.col("n") > FEW_LIVES).select("ns", "key", "m", F.lit(True).alias("many")).distinct()
+    slots = F.when(F.col("many"), F.sequence(_slot(first, F.col("m")), _slot(last, F.col("m")))).otherwise(F.array(F.lit(-1)))
+    lives_at = partly.join(many, ["ns", "key", "m"], "left").select("ns", "key", "m", F.struct("from_us", "to_us").alias("life"), F.explode(slots).alias("slot")).groupBy("ns", "key", "m", "slot").agg(F.collect_list("life").alias("lives"))
     existing = lives.groupBy("ns", "key").agg(F.min("from_us").alias("first_us"), F.lit(True).alias("exists"))
     suspects = survivors.join(existing, ["ns", "key"], "left").join(many, ["ns", "key", "m"], "left")
     t = F.col("t_us")

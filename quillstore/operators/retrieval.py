@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstore.functions.text import snippet
-from quillstore.operators.store import keyword_search
+from quillstore.operators.store import current_pages, keyword_search, last_vectors
+from quillstore.sources.tables import materialize
 
 #: Query vectors that are searched for in one pass over the table; more queries take more passes.
 BLOCK = 4096
@@ -86,6 +87,10 @@ def reciprocal_rank_fusion(lists: DataFrame, k: int = 60) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "slug")))
 
 
+#: A sub-search: of a query (a text, or a vector) and a limit, it gives slug and rank.
+Backend = Callable[..., DataFrame]
+
+
 @dataclass(frozen=True)
 class FullText:
     """Keyword search, newest first."""
@@ -115,28 +120,46 @@ class BacklinkHop:
     max_depth: int = 2
 
 
-def search(current: DataFrame, vectors: DataFrame, query: str, embedding: list[float] | None = None, limit: int = 10, strategies: tuple = (Hybrid(),), dim: int = 64) -> DataFrame:
+def search(pages: DataFrame, vectors: DataFrame, query: str, embedding: list[float] | None = None, limit: int = 10, strategies: tuple = (Hybrid(),), dim: int = 64, tombstones: DataFrame | None = None, backends: dict[str, Backend] | None = None, strict: bool = False) -> DataFrame:
     """slug, snippet, score, rank: the fused result of the strategies' sub-searches, each limited before the fusion; blank queries and limit 0 give none.
 
-    Only vectors of the right dimension of pages that are alive take part.
+    pages is the log of puts. Of several vectors of an id, the last one counts; a vector of another dimension is an error.
+    With `strict`, so is a hit whose page isn't current; without, vectors of such pages take no part. `backends` replaces the
+    sub-searches `text` (query, limit) and `vector` (embedding, limit), which give slug and rank from 1. Only the
+    texts of the hits are looked up, of at most `limit` slugs.
     """
-    spark = current.sparkSession
-    empty = spark.createDataFrame([], "query_id string, list int, slug string, rank int")
-    lists, fused_k, number = empty, 60, 0
+    spark = pages.sparkSession
+    alive = current_pages(pages.select("id", "slug", "created_at"), tombstones).select("slug")
+
+    def by_vector(asked: list[float], most: int) -> DataFrame:
+        last = last_vectors(vectors)
+        known = last if strict else last.join(alive.select(F.col("slug").alias("id")), "id", "left_semi")
+        one = spark.createDataFrame([("q", [float(x) for x in asked])], "query_id string, embedding array<float>")
+        return vector_topk(known, one, most, dim).select(F.col("id").alias("slug"), "rank")
+
+    by = {"text": lambda asked, most: keyword_search(pages, asked, most, tombstones), "vector": by_vector} | (backends or {})
+    lists, fused_k, number = spark.createDataFrame([], "query_id string, list int, slug string, rank int"), 60, 0
+
+    def add(found: DataFrame) -> None:
+        nonlocal lists, number
+        number += 1
+        lists = lists.unionByName(found.select(F.lit("q").alias("query_id"), F.lit(number).alias("list"), "slug", "rank"))
+
     if query.strip() and limit > 0:
         for strategy in strategies:
             if isinstance(strategy, Hybrid):
                 fused_k = strategy.rrf_k
             if isinstance(strategy, FullText | Hybrid):
-                number += 1
-                lists = lists.unionByName(keyword_search(current, query, limit).select(F.lit("q").alias("query_id"), F.lit(number).alias("list"), "slug", "rank"))
+                add(by["text"](query, limit))
             if isinstance(strategy, Vector | Hybrid) and embedding:
-                number += 1
-                alive = vectors.where(F.size("embedding") == dim).join(current.select(F.col("slug").alias("id")), "id", "left_semi")
-                one = spark.createDataFrame([("q", [float(x) for x in embedding])], "query_id string, embedding array<float>")
-                lists = lists.unionByName(vector_topk(alive.dropDuplicates(["id"]), one, limit, dim).select("query_id", F.lit(number).alias("list"), F.col("id").alias("slug"), "rank"))
-    fused = reciprocal_rank_fusion(lists, fused_k).where(F.col("rank") <= limit)
-    return fused.join(current.select("slug", "compiled_truth"), "slug").select("slug", snippet(F.col("compiled_truth")).alias("snippet"), "score", "rank")
+                add(by["vector"](embedding, limit))
+    fused = reciprocal_rank_fusion(lists, fused_k).where(F.col("rank") <= limit).select("slug", "score", "rank")
+    hits = F.broadcast(fused.select("slug"))  # at most `limit` rows
+    texts = current_pages(pages.select("id", "slug", "created_at", snippet(F.col("compiled_truth")).alias("snippet")).join(hits, "slug", "left_semi"), tombstones)
+    shown = fused.join(texts.select("slug", "snippet", F.lit(True).alias("there")), "slug", "left")
+    if strict:
+        shown = shown.withColumn("there", F.when(F.col("there"), True).otherwise(F.raise_error(F.concat(F.lit("no such page: "), "slug")).cast("boolean")))
+    return shown.where("there").select("slug", "snippet", "score", "rank")
 
 
 def tokens_of(text: Column) -> Column:
@@ -161,12 +184,13 @@ def bm25_search(docs: DataFrame, id_col: str, fields: list[str], queries: list[t
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(n, q) for n, q in queries], "query_id string, query string")
     wanted = wanted.select("query_id", F.explode(F.array_distinct(tokens_of(F.col("query")))).alias("term"))
+    terms = sorted({t for _, q in queries for t in _ascii_tokens(q)})
     each = F.inline(F.array(*(F.struct(F.lit(f).alias("field"), tokens_of(F.col(f)).alias("tokens")) for f in fields)))
     tokens = docs.select(F.col(id_col).alias("doc_id"), each).where("size(tokens) > 0")
-    sizes = tokens.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    terms = sorted({t for _, q in queries for t in _ascii_tokens(q)})
-    hits = tokens.select("field", "doc_id", F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda t: t.isin(*terms) if terms else F.lit(False))).alias("term"))
-    tf = hits.groupBy("field", "doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # The texts are read and cut into words once; what is kept of each is its length and the words asked for.
+    kept = materialize(tokens.select("field", "doc_id", F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms) if terms else F.lit(False)).alias("terms")), "terms")
+    sizes = kept.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    tf = kept.select("field", "doc_id", "length", F.explode("terms").alias("term")).groupBy("field", "doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weighted = tf.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(sizes), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -31,7 +31,7 @@ SCHEMAS = {
     "triples": _schema(id=T.LongType(), subject=_STR, predicate=_STR, object=_STR, valid_from=_TS, valid_to=_TS, confidence=T.FloatType(), source_slug=_STR, source_file=_STR, extracted_at=_TS),
     "source_versions": _schema(slug=_STR, mtime_us=T.LongType(), content_fp=T.BinaryType(), logic_fp=T.BinaryType()),
     "eval_memo": _schema(content_fp=T.BinaryType(), kind=_STR, payload=T.BinaryType(), created_at=T.LongType()),
-    "vectors": _schema(id=_STR, dim=T.IntegerType(), embedding=T.ArrayType(T.FloatType())),
+    "vectors": _schema(id=_STR, dim=T.IntegerType(), embedding=T.ArrayType(T.FloatType()), updated_at=_TS),
 }
 
 
@@ -81,17 +81,24 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def keyword_search(current: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """slug, snippet, rank of the newest pages with the sanitized query in their text or title.
+def keyword_hit(query: str) -> Column:
+    """Whether a page has the sanitized query in its text or title.
 
     The query is one contiguous pattern, in which `_` stands for any character; case is folded for ASCII only. A query
     without any letter or digit left matches every page with a text or title.
     """
     pattern = "%" + sanitize_text(query).translate({c: c + 32 for c in range(65, 91)}) + "%"
-    hit = F.coalesce(ascii_lower(F.col("compiled_truth")).like(pattern), F.lit(False)) | F.coalesce(ascii_lower(F.col("title")).like(pattern), F.lit(False))
-    top = current.where(hit).orderBy(F.desc("updated_at"), "slug").limit(limit)
-    newest = Window.orderBy(F.desc("updated_at"), "slug")
-    return top.select("slug", snippet(F.col("compiled_truth")).alias("snippet"), F.row_number().over(newest).alias("rank"))
+    return F.coalesce(ascii_lower(F.col("compiled_truth")).like(pattern), F.lit(False)) | F.coalesce(ascii_lower(F.col("title")).like(pattern), F.lit(False))
+
+
+def keyword_search(pages: DataFrame, query: str, limit: int = 10, tombstones: DataFrame | None = None) -> DataFrame:
+    """slug, snippet, rank of the newest current pages with a `keyword_hit`, from the log of puts.
+
+    Hit and snippet are told where the text is read, so that no text is shuffled to find the last put of a slug.
+    """
+    narrow = pages.select("id", "slug", "created_at", "updated_at", snippet(F.col("compiled_truth")).alias("snippet"), keyword_hit(query).alias("hit"))
+    top = current_pages(narrow, tombstones).where("hit").orderBy(F.desc("updated_at"), "slug").limit(limit)
+    return top.select("slug", "snippet", F.row_number().over(Window.orderBy(F.desc("updated_at"), "slug")).alias("rank"))
 
 
 def sanitize_text(query: str) -> str:
@@ -99,6 +106,12 @@ def sanitize_text(query: str) -> str:
     return re.sub(" +", " ", re.sub(r"[^A-Za-z0-9_'\- ]+", " ", query)).strip(" ")
 
 
+def last_vectors(vectors: DataFrame, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
+    """The vector of each id that was put last, by those of the `order` columns that there are; repeated deliveries count once."""
+    known = [c for c in order if c in vectors.columns]
+    return last_per_key(vectors.withColumn("_tie", F.xxhash64("embedding")), ["id"], [*known, "_tie"]).drop("_tie")
+
+
 def changed_sources(current: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame:
     """The skip gate: rows of which no version with equal `keys` is known, so that only these are indexed again."""
     return current.join(versions.select(*keys).distinct(), keys, "left_anti")

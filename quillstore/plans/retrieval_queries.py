@@ -11,6 +11,7 @@ from quillstore.sources.tables import read_table
 
 QUERY = "the paper"
 BM25 = [("a", "the tokenisation of the garden"), ("b", "irreversible permutation"), ("c", "die Karte und das Fenster"), ("d", "Home inbox"), ("e", "!!!")]
+BM25_PAGES = [("a", "the paper inbox"), ("b", "home"), ("c", "todo garden"), ("d", "!!!")]
 
 
 def _embeddings(spark, base):
@@ -43,13 +44,38 @@ def cosine_neighbours(spark, base):
     return rows.join(after, "vec_id").select("vec_id", F.round(vectors.cosine_distance(F.col("embedding"), F.col("next")), 6).alias("distance"))
 
 
+def _searchable(spark, base, table):
+    """id, embedding of the usable vectors of the store, each id once."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = read_table(spark, base, table).where("id is not null").where((F.size("embedding") == 64) & finite & F.exists("embedding", lambda x: x != 0))
+    return store.last_vectors(rows.select("id", "embedding"))
+
+
+def _store_topk(table):
+    def run(spark, base):
+        """Every id whose MD5 is divisible by 100 is a query, against all rows."""
+        known = _searchable(spark, base, table)
+        asked = known.where(F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint") % 100 == 0).withColumnRenamed("id", "query_id")
+        return retrieval.vector_topk(known, asked, 10, 64).select("query_id", "id", "rank")
+
+    return run
+
+
+def vector_last_wins(spark, base):
+    """The vector of each page after its chunks' vectors were put one after the other: the last one, and which it came from."""
+    puts = read_table(spark, base, "chunks").where("page_id is not null and embedding is not null")
+    puts = puts.select(F.col("page_id").alias("id"), "embedding", F.col("indexed_at").alias("updated_at"), F.col("id").alias("chunk_id"))
+    last = store.last_vectors(puts, ("updated_at", "chunk_id"))
+    return last.select("id", "chunk_id", F.size("embedding").alias("dim"))
+
+
 def _ranked_lists(spark, base):
     """Two ranked lists per tag: its pages by time of their last change, and by title."""
-    pages = _current(spark, base).join(read_table(spark, base, "tags").where("tag is not null").select(F.col("page_id").alias("id"), F.col("tag").alias("query_id")).distinct(), "id")
+    pages = _current(spark, base).select("id", "slug", "title", "updated_at").join(read_table(spark, base, "tags").where("tag is not null").select(F.col("page_id").alias("id"), F.col("tag").alias("query_id")).distinct(), "id")
     parts = []
     for n, order in enumerate((F.desc("updated_at"), F.asc_nulls_last("title"))):
         place = F.row_number().over(retrieval.Window.partitionBy("query_id").orderBy(order, "slug"))
-        parts.append(pages.select("query_id", F.lit(n).alias("list"), "slug", place.alias("rank")).where("rank <= 20"))
+        parts.append(pages.select("query_id", F.lit(n).alias("list"), "slug", place.alias("rank")))
     return parts[0].unionByName(parts[1])
 
 
@@ -61,12 +87,21 @@ def _search(*strategies, with_vector=True):
     def run(spark, base):
         known = _usable_vectors(spark, base)
         row = known.orderBy("id").select("embedding").first()
-        found = retrieval.search(_current(spark, base), known, QUERY, row.embedding if with_vector and row else None, 10, strategies or (retrieval.Hybrid(60),))
+        found = retrieval.search(read_table(spark, base, "pages"), known, QUERY, row.embedding if with_vector and row else None, 10, strategies or (retrieval.Hybrid(60),), tombstones=read_table(spark, base, "page_tombstones"))
         return found.select("slug", "snippet", F.round("score", 9).alias("score"), "rank")
 
     return run
 
 
+def bm25_pages(spark, base):
+    """Current pages by title, text and tags, with the first 200 characters of each hit."""
+    tags = read_table(spark, base, "tags").where("page_id is not null and tag is not null").groupBy(F.col("page_id").alias("id")).agg(F.array_join(F.collect_set("tag"), " ").alias("tags"))
+    pages = _current(spark, base).join(tags, "id", "left").select("slug", "title", F.col("compiled_truth").alias("body"), "tags")
+    found = retrieval.bm25_search(pages, "slug", ["title", "body", "tags"], BM25_PAGES, 10)
+    shown = pages.join(F.broadcast(found.withColumnRenamed("doc_id", "slug")), "slug")  # at most 10 rows a query
+    return shown.select("query_id", "slug", F.round("score", 6).alias("score"), "rank", F.substring("body", 1, 200).alias("snippet"))
+
+
 def bm25_search(spark, base):
     docs = read_table(spark, base, "documents").select("doc_id", "title", "text")
     found = retrieval.bm25_search(docs, "doc_id", ["title", "text"], BM25, 10)
@@ -109,18 +144,25 @@ def _fused(parts: str) -> str:
 SELECT slug, {_TRIM.format('substring(compiled_truth, 1, 200)')} AS snippet, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, slug) AS INTEGER) AS rank FROM f JOIN live USING (slug) QUALIFY rank <= 10"""
 
 
-def _bm25_sql() -> str:
-    queries = " UNION ALL ".join(f"SELECT '{n}' AS query_id, '{q}' AS q" for n, q in BM25)
-    return f"""
-WITH q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM ({queries})),
-d AS (SELECT 'title' AS field, doc_id, list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda t: length(t) <= 40) AS t FROM documents
-  UNION ALL SELECT 'text', doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) <= 40) FROM documents),
+def _bm25_sql(asked, source, key, fields) -> str:
+    queries = " UNION ALL ".join(f"SELECT '{n}' AS query_id, '{q}' AS q" for n, q in asked)
+    words = " UNION ALL ".join(f"SELECT '{f}' AS field, {key} AS doc_id, list_filter(regexp_extract_all(lower({f}), '[a-z0-9]+'), lambda t: length(t) <= 40) AS t FROM {source}" for f in fields)
+    return f"""q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM ({queries})),
+d AS ({words}),
 f AS (SELECT * FROM d WHERE len(t) > 0), z AS (SELECT field, count(*) AS n, avg(len(t)) AS mean FROM f GROUP BY field),
 tf AS (SELECT field, doc_id, len, term, count(*) AS tf FROM (SELECT field, doc_id, len(t) AS len, unnest(t) AS term FROM f) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL),
 s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 9) AS score
-  FROM tf JOIN df USING (field, term) JOIN z USING (field) JOIN q USING (term) GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
+  FROM tf JOIN df USING (field, term) JOIN z USING (field) JOIN q USING (term) GROUP BY ALL),
+r AS (SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10)"""
+
+
+_PAGES_TAGGED = f"""{_CUR}, g AS (SELECT page_id, string_agg(DISTINCT tag, ' ') AS tags FROM tags WHERE page_id IS NOT NULL AND tag IS NOT NULL GROUP BY page_id),
+p AS (SELECT slug, title, compiled_truth AS body, tags FROM live LEFT JOIN g ON page_id = id)"""
+_TOP_STORED = """WITH u AS (SELECT id, CAST(any_value(CAST(embedding AS DOUBLE[])) AS DOUBLE[64]) AS e FROM {0}
+  WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+c AS (SELECT q.id AS query_id, u.id, round(array_cosine_similarity(q.e, u.e), 9) AS s FROM u JOIN u q ON CAST('0x' || substr(md5(q.id), 1, 8) AS BIGINT) % 100 = 0)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS INTEGER) AS rank FROM c QUALIFY rank <= 10"""
 
 
 def _postings_sql(field: str) -> str:
@@ -138,7 +180,8 @@ WHEN {has('today', 'yesterday', 'timeline')} THEN 'temporal' WHEN {has('related'
 QUERIES = {
     "vector_topk_batch": vector_topk_batch, "vector_topk_after_delete": vector_topk_after_delete, "cosine_neighbours": cosine_neighbours,
     "rrf_fusion": rrf_fusion, "hybrid_search": _search(), "strategy_fulltext_only": _search(retrieval.FullText()), "strategy_vector_only": _search(retrieval.Vector()),
-    "search_without_embedder": _search(with_vector=False), "bm25_search": bm25_search, "postings": postings,
+    "search_without_embedder": _search(with_vector=False), "bm25_search": bm25_search, "bm25_pages": bm25_pages,
+    "vector_topk_vectors": _store_topk("vectors"), "vector_topk_chunks": _store_topk("chunks"), "vector_last_wins": vector_last_wins, "postings": postings,
     "sanitize_query": sanitize_query, "intent_classify": intent_classify, "page_snippets": page_snippets,
 }
 SQL = {
@@ -146,15 +189,20 @@ SQL = {
     "vector_topk_after_delete": _TOP.format(where="AND v.label IS DISTINCT FROM 3", sim=""),
     "cosine_neighbours": f"SELECT a.vec_id, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "rrf_fusion": f"""WITH {_CUR}, p AS (SELECT DISTINCT t.tag AS query_id, l.slug, l.updated_at, l.title FROM live l JOIN tags t ON t.page_id = l.id WHERE t.tag IS NOT NULL),
-r AS (SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, slug) AS rank FROM p QUALIFY rank <= 20
-  UNION ALL SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY title ASC NULLS LAST, slug) AS rank FROM p QUALIFY rank <= 20),
+r AS (SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY updated_at DESC, slug) AS rank FROM p
+  UNION ALL SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY title ASC NULLS LAST, slug) AS rank FROM p),
 s AS (SELECT query_id, slug, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM r GROUP BY ALL)
 SELECT query_id, slug, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS INTEGER) AS rank FROM s""",
     "hybrid_search": _fused("SELECT * FROM kw UNION ALL SELECT * FROM ve"),
     "strategy_fulltext_only": _fused("SELECT * FROM kw"),
     "strategy_vector_only": _fused("SELECT * FROM ve"),
     "search_without_embedder": _fused("SELECT * FROM kw"),
-    "bm25_search": _bm25_sql(),
+    "bm25_search": f"WITH {_bm25_sql(BM25, 'documents', 'doc_id', ('title', 'text'))} SELECT * FROM r",
+    "bm25_pages": f"WITH {_PAGES_TAGGED}, {_bm25_sql(BM25_PAGES, 'p', 'slug', ('title', 'body', 'tags'))} SELECT query_id, slug, score, rank, substring(body, 1, 200) AS snippet FROM r JOIN p ON slug = doc_id",
+    "vector_topk_vectors": _TOP_STORED.format("vectors"),
+    "vector_topk_chunks": _TOP_STORED.format("chunks"),
+    "vector_last_wins": """SELECT page_id AS id, id AS chunk_id, CAST(len(embedding) AS INTEGER) AS dim FROM chunks WHERE page_id IS NOT NULL AND embedding IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY indexed_at DESC NULLS LAST, id DESC NULLS LAST) = 1""",
     "postings": " UNION ALL ".join(_postings_sql(f) for f in ("title", "text")),
     "sanitize_query": "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9_''\\- ]+', ' ', 'g'), ' +', ' ', 'g'), ' ') AS clean FROM documents WHERE text IS NOT NULL",
     "intent_classify": _intent_sql(),

@@ -9,7 +9,7 @@ from quillstore.functions.text import fingerprint, trimmed, uuid_of, valid_slug
 from quillstore.operators import graph, store
 from quillstore.sources.tables import read_table
 
-HOME, TAG, INSTANT = "index/home", "inbox", "2024-06-01 00:00:00"
+HOME, TAG, INSTANT, RULES_FROM = "index/home", "inbox", "2024-06-01 00:00:00", "2024-09-01 00:00:00"
 
 
 def _current(spark: SparkSession, base: str) -> DataFrame:
@@ -59,7 +59,7 @@ def frontmatter_owner(spark, base):
 
 def keyword(query: str):
     def run(spark: SparkSession, base: str) -> DataFrame:
-        return store.keyword_search(_current(spark, base), query, 10)
+        return store.keyword_search(read_table(spark, base, "pages"), query, 10, read_table(spark, base, "page_tombstones"))
 
     return run
 
@@ -112,23 +112,28 @@ def backlink_hop_limit(spark, base):
 
 
 def graph_rerank(spark, base):
-    hits = store.keyword_search(_current(spark, base), "the", 50).select("slug", (1.0 / (60 + F.col("rank"))).alias("score"), "rank")
-    ranked = graph.rerank_by_distance(hits, graph.bfs_backlinks(_links(spark, base), HOME, 3), 0.5)
+    hits = store.keyword_search(read_table(spark, base, "pages"), "the", 50, read_table(spark, base, "page_tombstones")).select("slug", (1.0 / (60 + F.col("rank"))).alias("score"), "rank")
+    ranked = graph.rerank_by_distance(hits, graph.bfs_backlinks(_links(spark, base), HOME, 3), 0.5, 50)
     return ranked.select("slug", F.round("score", 9).alias("score"), "rank")
 
 
+def _confidence():
+    """Null where it is not a number."""
+    return F.when(~F.isnan("confidence"), F.round(F.col("confidence").cast("double"), 6)).alias("confidence")
+
+
 def _most_named(triples: DataFrame, column: str) -> str:
     return triples.where(F.col(column).isNotNull()).groupBy(column).agg(F.countDistinct("id").alias("n")).orderBy(F.desc("n"), column).first()[0]
 
 
 def triples_by_subject(spark, base):
     triples = read_table(spark, base, "triples")
-    return graph.find_triples(triples, subject=_most_named(triples, "subject")).select("id", "subject", "predicate", "object", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), "is_current")
+    return graph.find_triples(triples, subject=_most_named(triples, "subject")).select("id", "subject", "predicate", "object", _confidence(), "is_current")
 
 
 def triples_by_object(spark, base):
     triples = read_table(spark, base, "triples")
-    return graph.find_triples(triples, object=_most_named(triples, "object"), only_current=False).select("id", "subject", "predicate", "object", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), "is_current")
+    return graph.find_triples(triples, object=_most_named(triples, "object"), only_current=False).select("id", "subject", "predicate", "object", _confidence(), "is_current")
 
 
 def triples_current(spark, base):
@@ -152,6 +157,16 @@ def skip_gate(spark, base):
     return store.changed_sources(current, earlier, ["slug", "content_fp"]).select("slug", F.hex("content_fp").alias("fp"))
 
 
+def skip_gate_logic(spark, base):
+    """Sources to be indexed again: since the put before, their time, content or the indexing rules (others from RULES_FROM on) have changed."""
+    rules = fingerprint(F.when(F.col("created_at") < F.lit(RULES_FROM).cast("timestamp"), "rules-1").otherwise("rules-2"))
+    puts = read_table(spark, base, "pages").where("slug is not null and content_fp is not null")
+    puts = puts.select("slug", F.unix_micros("updated_at").alias("mtime_us"), "content_fp", rules.alias("logic_fp"), "created_at", "id").distinct()
+    current = store.last_per_key(puts, ["slug"], ["created_at", "id"])
+    stored = store.last_per_key(puts.join(current.select("id"), "id", "left_anti"), ["slug"], ["created_at", "id"])
+    return store.changed_sources(current, stored, ["slug", "mtime_us", "content_fp", "logic_fp"]).select("slug", "mtime_us", F.hex("content_fp").alias("fp"))
+
+
 def memo_last_wins(spark, base):
     puts = read_table(spark, base, "pages").where("content_fp is not null").select("content_fp", F.col("id").alias("payload"), "created_at")
     return store.last_per_key(puts, ["content_fp"], ["created_at", "payload"]).select(F.hex("content_fp").alias("fp"), "payload")
@@ -200,11 +215,11 @@ QUERIES = {
     "backlinks_current": backlinks_current, "backlinks_all": backlinks_all, "extract_links": extract_links, "page_links": page_links,
     "bfs_backlinks": bfs_backlinks, "backlink_hop_limit": backlink_hop_limit, "graph_rerank": graph_rerank,
     "triples_by_subject": triples_by_subject, "triples_by_object": triples_by_object, "triples_current": triples_current, "triples_closed": triples_closed,
-    "triple_nodes": triple_nodes, "skip_gate": skip_gate, "memo_last_wins": memo_last_wins, "source_versions": source_versions, "stale_fingerprints": stale_fingerprints,
+    "triple_nodes": triple_nodes, "skip_gate": skip_gate, "skip_gate_logic": skip_gate_logic, "memo_last_wins": memo_last_wins, "source_versions": source_versions, "stale_fingerprints": stale_fingerprints,
 }
 
 _MOST = "SELECT {0} FROM triples WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY count(DISTINCT id) DESC, {0} LIMIT 1"
-_TRIPLE = "id, subject, predicate, object, round(CAST(confidence AS DOUBLE), 6) AS confidence, valid_to IS NULL AS is_current"
+_TRIPLE = "id, subject, predicate, object, CASE WHEN NOT isnan(confidence) THEN round(CAST(confidence AS DOUBLE), 6) END AS confidence, valid_to IS NULL AS is_current"
 SQL = {
     "current_pages": f"WITH {_CUR} SELECT slug, id, scope, title, epoch_us(updated_at) AS updated_us FROM live",
     "list_pages": f"WITH {_CUR} SELECT slug, scope, title FROM live ORDER BY updated_at DESC, slug LIMIT 20",
@@ -244,6 +259,10 @@ SELECT node, CASE WHEN max(s) + max(o) = 2 THEN 'both' WHEN max(s) = 1 THEN 'sub
     "skip_gate": """WITH p AS (SELECT DISTINCT id, slug, hex(content_fp) AS fp, created_at FROM pages WHERE slug IS NOT NULL AND content_fp IS NOT NULL),
 c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY slug ORDER BY created_at DESC NULLS LAST, id DESC) = 1)
 SELECT slug, fp FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.slug = c.slug AND p.fp = c.fp AND p.id <> c.id)""",
+    "skip_gate_logic": f"""WITH p AS (SELECT DISTINCT id, slug, epoch_us(updated_at) AS mtime_us, hex(content_fp) AS fp, created_at, coalesce(created_at < TIMESTAMPTZ '{RULES_FROM}+00', false) AS logic FROM pages WHERE slug IS NOT NULL AND content_fp IS NOT NULL),
+c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY slug ORDER BY created_at DESC NULLS LAST, id DESC) = 1),
+v AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM c) QUALIFY row_number() OVER (PARTITION BY slug ORDER BY created_at DESC NULLS LAST, id DESC) = 1)
+SELECT slug, mtime_us, fp FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.slug = c.slug AND v.mtime_us = c.mtime_us AND v.fp = c.fp AND v.logic = c.logic)""",
     "source_versions": f"WITH {_CUR} SELECT slug, epoch_us(updated_at) AS mtime_us, hex(content_fp) AS fp FROM cur",
     "memo_last_wins": "SELECT fp, payload FROM (SELECT DISTINCT hex(content_fp) AS fp, id AS payload, created_at FROM pages WHERE content_fp IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY fp ORDER BY created_at DESC NULLS LAST, payload DESC) = 1",
 }

@@ -11,6 +11,10 @@ from quillstore.sources.tables import read_table, shared_folder
 from quillstore.streaming import logs
 
 
+#: How much later than newer ones puts and events may come; state older than that is dropped.
+PUT_LATENESS, EVENT_LATENESS = "60 days", "2 days"
+
+
 def _places(spark: SparkSession) -> tuple[str, str]:
     folder = f"{shared_folder(spark)}/quillstore-stream-{uuid.uuid4().hex}"
     return f"{folder}/log", f"{folder}/checkpoint"
@@ -21,7 +25,7 @@ def stream_page_log(spark: SparkSession, base: str) -> DataFrame:
     schema = read_table(spark, base, "pages").schema
     puts = logs.table_stream(spark, base, "pages", schema).select("id", "slug", "created_at")
     path, checkpoint = _places(spark)
-    logs.append_stream(logs.deduplicated(puts, "id", "created_at", "36500 days"), path, checkpoint).awaitTermination()
+    logs.append_stream(logs.deduplicated(puts, "id", "created_at", PUT_LATENESS), path, checkpoint).awaitTermination()
     return spark.read.parquet(path).select("id", "slug", F.unix_micros("created_at").alias("created_us"))
 
 
@@ -30,7 +34,7 @@ def stream_event_windows(spark: SparkSession, base: str) -> DataFrame:
     schema = read_table(spark, base, "events").schema
     events = logs.table_stream(spark, base, "events", schema).select("event_type", F.col("ts").cast("timestamp").alias("ts"))
     path, checkpoint = _places(spark)
-    counts = logs.windowed_counts(events, "ts", "1 day", "event_type", "36500 days")
+    counts = logs.windowed_counts(events, "ts", "1 day", "event_type", EVENT_LATENESS)
     query = counts.writeStream.outputMode("update").foreachBatch(lambda batch, n: logs.replace_batch(batch, path, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     states = spark.read.schema("window_start timestamp, event_type string, n bigint, batch int").option("basePath", path).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillstore.functions import text, vectors, wordpiece
-from quillstore.operators import indexing
+from quillstore.operators import indexing, retrieval
 from quillstore.plans.store_queries import _CUR, _current
 from quillstore.sources.tables import read_table
 
@@ -109,9 +109,7 @@ def vec_mean_pool_by_label(spark, base):
 
 def matmul_gram(spark, base):
     """The product of the embeddings' matrix, turned, with itself."""
-    cells = vectors.long_form(read_table(spark, base, "embeddings"), "vec_id", "embedding")
-    a, b = cells.select(F.col("pos").alias("i"), F.col("row").alias("k"), "value"), cells.select(F.col("row").alias("k"), F.col("pos").alias("j"), "value")
-    return vectors.matmul(a, b).withColumn("value", F.round("value", 5))
+    return vectors.gram(read_table(spark, base, "embeddings"), "embedding").withColumn("value", F.round("value", 5))
 
 
 def embedding_lookup(spark, base):
@@ -141,11 +139,13 @@ def sparse_weights(spark, base):
 
 
 def late_interaction(spark, base):
-    """Every row whose id is divisible by 100 is a query of three vectors, of its own label's rows."""
-    unit = read_table(spark, base, "embeddings").select("vec_id", "label", vectors.l2_normalize(F.col("embedding")).alias("embedding"))
-    asked = unit.where("vec_id % 100 = 0").select("label", F.col("vec_id").alias("query_id"))
-    q = unit.join(asked, unit.vec_id.between(F.col("query_id"), F.col("query_id") + 2)).select("query_id", (F.col("vec_id") - F.col("query_id")).alias("pos"), "embedding")
-    d = unit.join(asked, "label").select("query_id", F.floor(F.col("vec_id") / 4).alias("doc_id"), F.pmod("vec_id", F.lit(4)).alias("pos"), "embedding")
+    """Every row whose id is divisible by 100 is a query of three vectors, compared with the documents, of four vectors each, that hold the 50 rows next to its first one."""
+    unit = read_table(spark, base, "embeddings").select("vec_id", vectors.l2_normalize(F.col("embedding")).alias("embedding"))
+    asked = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"))
+    q = asked.withColumn("vec_id", F.col("query_id") + F.col("pos")).join(unit, "vec_id").select("query_id", "pos", "embedding")
+    near = retrieval.vector_topk(unit, q.where("pos = 0").select("query_id", "embedding"), 50, 64, id_col="vec_id")
+    document = lambda c: F.floor(F.col(c).cast("bigint") / 4).alias("doc_id")
+    d = near.select(F.col("query_id").cast("bigint").alias("query_id"), document("id")).distinct().join(unit.select(document("vec_id"), "embedding"), "doc_id").withColumn("pos", F.lit(0))
     return vectors.late_interaction(q, d).withColumn("score", F.round("score", 5))
 
 
@@ -244,9 +244,11 @@ SELECT row, pos, CAST(CASE WHEN id = 4 THEN 4 ELSE 4 + sum(CASE WHEN id <> 4 THE
 SELECT doc_id, array_to_string(x, ',') AS ids, array_to_string(list_transform(x, lambda z: CASE WHEN z <> 0 THEN 1 ELSE 0 END), ',') AS mask FROM w""",
     "sparse_weights": f"""WITH w AS ({_WORDS}), t AS (SELECT doc_id AS row, i - 0.5 AS weight, x[i + 1] AS id FROM (SELECT doc_id, x, unnest(range(len(x))) AS i FROM w))
 SELECT row, CAST(id AS INTEGER) AS id, CAST(max(weight) AS DOUBLE) AS weight FROM t WHERE id NOT IN (0, 2) GROUP BY row, id HAVING max(weight) > 0""",
-    "late_interaction": f"""WITH e AS (SELECT vec_id, label, CAST({_E} AS DOUBLE[64]) AS e FROM embeddings), a AS (SELECT vec_id AS q, label FROM e WHERE vec_id % 100 = 0),
-q AS (SELECT a.q, a.label, e.vec_id, e.e FROM a JOIN e ON e.vec_id BETWEEN a.q AND a.q + 2),
-b AS (SELECT q.q, q.vec_id, d.vec_id // 4 AS doc_id, max(array_cosine_similarity(q.e, d.e)) AS best FROM q JOIN e d ON d.label = q.label GROUP BY ALL)
+    "late_interaction": f"""WITH e AS (SELECT vec_id, CAST({_E} AS DOUBLE[64]) AS e FROM embeddings),
+q AS (SELECT e.vec_id - e.vec_id % 100 AS q, e.vec_id, e.e FROM e WHERE e.vec_id % 100 <= 2 AND e.vec_id - e.vec_id % 100 IN (SELECT vec_id FROM e)),
+n AS (SELECT q.q, d.vec_id // 4 AS doc_id, row_number() OVER (PARTITION BY q.q ORDER BY round(array_cosine_similarity(q.e, d.e), 9) DESC, CAST(d.vec_id AS VARCHAR)) AS rank FROM q JOIN e d ON q.vec_id = q.q QUALIFY rank <= 50),
+c AS (SELECT DISTINCT q, doc_id FROM n),
+b AS (SELECT q.q, q.vec_id, c.doc_id, max(array_cosine_similarity(q.e, d.e)) AS best FROM q JOIN c ON c.q = q.q JOIN e d ON d.vec_id // 4 = c.doc_id GROUP BY ALL)
 SELECT q AS query_id, doc_id, round(sum(best), 5) AS score FROM b GROUP BY ALL""",
     "attention": f"""WITH e AS (SELECT vec_id // 8 AS row, vec_id % 8 AS pos, {_E} AS e FROM embeddings),
 s AS (SELECT q.row AS row, q.pos AS pos, k.e AS v, list_dot_product(q.e, k.e) / 8 AS s FROM e q JOIN e k ON q.row = k.row AND k.pos < 6),

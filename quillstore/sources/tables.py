@@ -8,17 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folder of a local session without a shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The Parquet table `name` under the folder `base`."""
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), a new temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a new temporary one of this machine, in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _LOCAL.setdefault(spark.conf.get("spark.app.id", ""), f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}")
     return folder.rstrip("/")
 
 

@@ -13,7 +13,8 @@ def plain(v):
     if v is None:
         return "null"
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else f"{v:.9g}"
+        assert not math.isnan(v), "a NaN equals nothing; give null on both sides"
+        return f"{v:.9g}"
     if isinstance(v, list | tuple):
         return "[" + ",".join(map(plain, v)) + "]"
     return bytes(v).hex() if isinstance(v, bytes | bytearray) else str(v)

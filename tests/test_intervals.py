@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 from quillstore.functions.times import OPEN_US
-from quillstore.operators.intervals import interval_islands, periods_and_gaps
+from quillstore.operators.intervals import _bucketed, interval_islands, periods_and_gaps
 
 SCHEMA = "id bigint, a string, b string, s bigint, e bigint, k1 string, n string"
 
@@ -41,8 +41,8 @@ def test_random_intervals_in_many_bucket_sizes(spark):
     rows += rows[:50]
     want = brute(rows)
     assert islands(spark, rows) == want
-    for bucket in (7, 100, 10**6):
-        assert islands(spark, rows, bucket_us=bucket, hot_rows=0) == want
+    for hot_rows in (0, 20, 100):
+        assert islands(spark, rows, hot_rows=hot_rows) == want
 
 
 def test_touching_intervals_are_one_period_and_equal_ones_count_by_id(spark):
@@ -62,4 +62,10 @@ def test_empty_table(spark):
 
 def test_one_hot_entity(spark):
     rows = [(i, "hot", "b", i * 10, i * 10 + 10 - (i % 100 == 99)) for i in range(3000)] + [(i, f"cold{i % 50}", "b", i, i + 20) for i in range(3000, 3500)]
-    assert islands(spark, rows, bucket_us=1000, hot_rows=1000) == brute(rows)
+    assert islands(spark, rows, hot_rows=200) == brute(rows)
+
+
+def test_buckets_hold_about_as_many_rows_however_close_the_starts(spark):
+    rows = spark.range(20000).selectExpr("0 as slot", "'a' as k1", "cast(if(id < 19000, id, id * 1000000) as bigint) as s", "cast(s + 1 as bigint) as e", "1 as n")
+    sizes = [r.n for r in _bucketed(rows, {0: 20}).groupBy("b").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) == 20 and max(sizes) < 1100

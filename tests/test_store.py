@@ -14,6 +14,7 @@ from quillstore import api
 from quillstore.operators import graph, indexing, retrieval, store
 from quillstore.sources.markdown import read_markdown
 from quillstore.sources.tensors import TensorFileError, read_tensors
+from quillstore.streaming import logs
 
 PAGES = store.SCHEMAS["pages"].simpleString()
 T0 = datetime(2024, 1, 1)
@@ -44,6 +45,49 @@ def test_facade_round_trip(spark):
             call()
 
 
+def test_a_put_replaces_the_vector_of_the_one_before(spark):
+    s = api.Store(spark, folder(), embed=lambda t: [float(t.count("x")), float(t.count("y"))], dim=2)
+    s.put_page("a", "x")
+    s.put_page("b", "x y")
+    assert s.search("xx")[0]["slug"] == "a"
+    s.put_page("a", "y")
+    vectors = store.last_vectors(s._table("vectors"))
+    assert {(r.id, tuple(r.embedding)) for r in vectors.collect()} == {("a", (0.0, 1.0)), ("b", (1.0, 1.0))}
+    found = retrieval.search(s._table("pages"), s._table("vectors"), "none", [1.0, 0.0], 5, (retrieval.Vector(),), dim=2)
+    assert [r.slug for r in found.orderBy("rank").collect()] == ["b", "a"]
+    with pytest.raises(api.StoreError):
+        api.Store(spark, s.base, embed=lambda t: [1.0], dim=2).put_page("c", "x")
+    with pytest.raises(Exception, match="dimension"):
+        retrieval.search(s._table("pages"), s._table("vectors"), "x", [1.0, 0.0, 0.0], 5, dim=3).collect()
+    gone = spark.createDataFrame([(r.id, "b", T0) for r in s._table("pages").where("slug = 'b'").collect()], "page_id string, slug string, deleted_at timestamp")
+    how = dict(query="none", embedding=[1.0, 0.0], limit=5, strategies=(retrieval.Vector(),), dim=2, tombstones=gone)
+    assert [r.slug for r in retrieval.search(s._table("pages"), s._table("vectors"), **how).collect()] == ["a"]
+    with pytest.raises(Exception, match="no such page"):
+        retrieval.search(s._table("pages"), s._table("vectors"), strict=True, **how).collect()
+
+
+def test_a_backend_of_ones_own(spark):
+    pages = spark.createDataFrame([(i, i, "concept", None, f"text {i}", None, None, None, T0, T0) for i in "abc"], PAGES)
+    own = lambda query, limit: spark.createDataFrame([("c", 1), ("a", 2)], "slug string, rank int")
+    found = retrieval.search(pages, spark.createDataFrame([], store.SCHEMAS["vectors"]), "zzz", strategies=(retrieval.FullText(),), backends={"text": own})
+    assert [(r.slug, r.snippet) for r in found.orderBy("rank").collect()] == [("c", "text c"), ("a", "text a")]
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark):
+    base = folder()
+    days = [[0, 1, 1, 9], [9], [8, 1, 30], [30], [9, 29]]  # a watermark counts for late rows from the batch after the next on
+    for n, file in enumerate(days):
+        rows = spark.createDataFrame([("x", T0 + timedelta(days=d)) for d in file], "event_type string, ts timestamp").coalesce(1)
+        rows.write.mode("append").parquet(f"{base}/events.parquet")
+    stream = logs.table_stream(spark, base, "events", spark.read.parquet(f"{base}/events.parquet").schema, files=1)
+    counts = logs.windowed_counts(stream, "ts", "1 day", "event_type", "2 days")
+    path = f"{base}/states"
+    counts.writeStream.outputMode("update").foreachBatch(lambda batch, n: logs.replace_batch(batch, path, n)).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.schema("window_start timestamp, event_type string, n bigint, batch int").option("basePath", path).parquet(path)
+    last = {(r.window_start - T0).days: r.n for r in states.groupBy("window_start").agg(F.max_by("n", "batch").alias("n")).collect()}
+    assert last == {0: 1, 1: 2, 9: 2, 8: 1, 30: 2, 29: 1}
+
+
 def test_current_pages(spark):
     rows = [("1", "a", 0), ("2", "a", 1), ("2", "a", 1), ("3", "b", 0), ("4", None, 0)]
     pages = spark.createDataFrame([(i, s, "concept", None, "x", None, None, None, T0 + timedelta(days=d), None) for i, s, d in rows], PAGES)
@@ -63,7 +107,7 @@ def test_bfs_and_rerank(spark):
     links = spark.createDataFrame([(i, f, t, "m", T0, None) for i, (f, t) in enumerate(edges)] + [(9, "e", "home", "m", T0, T0)], store.SCHEMAS["links"])
     assert {tuple(r) for r in graph.bfs_backlinks(links, "home", 3).collect()} == {("a", 1), ("b", 2), ("c", 3)}
     hits = spark.createDataFrame([("z", 1.0, 1), ("c", 0.9, 2), ("a", 0.9, 3)], "slug string, score double, rank int")
-    ranked = graph.rerank_by_distance(hits, graph.bfs_backlinks(links, "home", 3), 0.5).orderBy("rank").collect()
+    ranked = graph.rerank_by_distance(hits, graph.bfs_backlinks(links, "home", 3), 0.5, 3).orderBy("rank").collect()
     assert [r.slug for r in ranked] == ["a", "c", "z"]
 
 
