@@ -123,10 +123,10 @@ class _Profiles:
         return pa.array(self.langs, pa.string()).take(pa.array(told))
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """All words and counts of a batch, and where each text's begin. Every text has words."""
-    words = pc.split_pattern(batch.column("words"), " ")
-    return words.flatten(), np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4"), words.offsets.to_numpy()[:-1]
+def _flat(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words, and where each text's begin. Every text has words."""
+    words = pc.split_pattern(texts, " ")
+    return words.flatten(), words.offsets.to_numpy()[:-1]
 
 
 def _told(profiles):
@@ -136,7 +136,7 @@ def _told(profiles):
         known: _Profiles = profiles.value
         for batch in batches:
             if len(batch):
-                words, _, begins = _flat(batch)
+                words, begins = _flat(batch.column("words"))
                 bins = np.minimum(batch.column("sentence_length").to_numpy() / BIN, BINS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([known.names(known.told(known.rows_of(words), begins)), pa.array(bins), batch.column("words")], ["lang", "bin", "words"])
 
@@ -151,7 +151,8 @@ def _shares(profiles):
         for batch in batches:
             if not len(batch):
                 continue
-            words, counts, begins = _flat(batch)
+            words, begins = _flat(batch.column("words"))
+            counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), "<i4")
             lang, share = pa.nulls(len(batch), pa.string()), np.ones(len(batch))
             if known.langs:
                 rows = known.rows_of(words)
