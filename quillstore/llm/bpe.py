@@ -174,9 +174,8 @@ class Encoder:
             ids, offsets = merge_words(self.ranks, word_bytes, np.append(0, np.cumsum(lengths)))
             rows = np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(spans))
             self.ids, self.offsets = np.concatenate([self.ids, ids]), np.append(self.offsets, self.offsets[-1] + offsets[1:])
-            known, row = np.append(self.known, seen[new]), np.append(self.row, rows)
-            order = np.argsort(known)
-            self.known, self.row = known[order], row[order]
+            at = np.searchsorted(self.known, seen[new])  # both are sorted
+            self.known, self.row = np.insert(self.known, at, seen[new]), np.insert(self.row, at, rows)
         ids, counts = _take(self.ids, self.offsets, self.row[np.searchsorted(self.known, seen)][which])
         return ids, np.bincount(text, weights=counts, minlength=len(texts)).astype(np.int64)
 
