@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,20 @@ def test_wordpiece_queries_take_whole_texts(spark, base):
     for r in of("wordpiece_truncated").collect():
         ids = want[r.doc_id]
         assert r.overflow == max(len(ids) - 128, 0) and r.ids == (ids if len(ids) <= 128 else [*ids[:127], ids[-1]])
+
+
+def test_wordpiece_is_that_of_another_implementation(spark, base):
+    """Whole documents, with the corpus' frequent words, all characters and their continuations as a vocabulary."""
+    tokenizers = pytest.importorskip("tokenizers")
+    texts = [r.text for r in spark.read.parquet(f"{base}/documents.parquet").where("text is not null").orderBy("doc_id").select("text").collect()]
+    texts += ["Ünïcode 日本語 text\u0000 \ufffd[tab]\t-- O'Neill's", "\u3000wide blank", "a" * 101 + " b", "İstanbul ǅ ß"]
+    bert = tokenizers.normalizers.BertNormalizer(clean_text=True, handle_chinese_chars=True, strip_accents=True, lowercase=True)
+    words = Counter(w for t in texts for w, _ in tokenizers.pre_tokenizers.BertPreTokenizer().pre_tokenize_str(bert.normalize_str(t)))
+    frequent = [w for w, n in words.items() if n >= 5 and len(w) > 1]
+    characters = sorted({c for w in words for c in w})
+    tokens = tuple(dict.fromkeys((*wordpiece.SPECIAL, *sorted(frequent), *characters[: len(characters) // 2], *(f"##{c}" for c in characters), *(f"##{w[2:]}" for w in sorted(frequent) if len(w) > 4))))
+    other = tokenizers.Tokenizer(tokenizers.models.WordPiece({t: i for i, t in enumerate(tokens)}, unk_token="[UNK]", max_input_chars_per_word=100))
+    other.normalizer, other.pre_tokenizer = bert, tokenizers.pre_tokenizers.BertPreTokenizer()
+    model = wordpiece.WordPiece(tokens, max_length=2**31 - 1)
+    got = column(spark, texts, lambda x: wordpiece.encoded(x, model))
+    assert [ids[1:-1] for ids in got] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
