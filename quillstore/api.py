@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,14 @@ class Store:
         self.spark, self.base, self.embed, self.dim = spark, base, embed, dim
         store.init_store(spark, base)
 
+    @classmethod
+    def configured(cls, spark: SparkSession, embed=None, dim: int = 64) -> Store:
+        """The store in the folder that the session's `spark.quillstore.dir` names, or else the variable QUILLSTORE_DIR."""
+        folder = spark.conf.get("spark.quillstore.dir", None) or os.environ.get("QUILLSTORE_DIR")
+        if not folder:
+            raise StoreError("set spark.quillstore.dir or QUILLSTORE_DIR")
+        return cls(spark, folder, embed, dim)
+
     def _table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.base, name)
 

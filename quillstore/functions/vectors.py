@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(x: Column) -> Column:
@@ -176,6 +179,34 @@ def viterbi(emissions: Column, transitions: list[list[float]], start: list[float
     return F.when(F.size(emissions) == 0, F.array().cast("array<int>")).otherwise(best(ended)["path"])
 
 
+def concatenated(*parts: Column) -> Column:
+    """Arrays end to end; null if one is."""
+    return F.concat(*(doubles(x) for x in parts))
+
+
+def dense_embedding(tokens: DataFrame, group: str, order: str) -> DataFrame:
+    """group, embedding: the vector at the first place of each group, of length 1."""
+    first = tokens.where(F.col(order) == 0)
+    return first.select(group, l2_normalize(F.col("embedding")).alias("embedding"))
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_embedding(x: pd.Series) -> pd.Series:
+    """The numbers of an array as 4-byte floats, little end first; null for null."""
+    return x.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+def decode_embedding(blob: Column, dim: int) -> Column:
+    """The array of `dim` numbers in a blob; another length is an error."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else np.frombuffer(v, "<f4"))
+
+    checked = F.when(blob.isNull() | (F.octet_length(blob) == 4 * dim), blob).otherwise(F.raise_error(F.lit("a blob of another length")).cast("binary"))
+    return run(checked)
+
+
 def long_form(df: DataFrame, id_col: str, array_col: str) -> DataFrame:
     """row, pos, value: one row per element of an array."""
     return df.select(F.col(id_col).alias("row"), F.posexplode(doubles(F.col(array_col))).alias("pos", "value"))

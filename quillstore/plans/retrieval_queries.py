@@ -69,6 +69,22 @@ def vector_last_wins(spark, base):
     return last.select("id", "chunk_id", F.size("embedding").alias("dim"))
 
 
+def vector_blobs(spark, base):
+    """Vectors to blobs of floats and back."""
+    rows = _searchable(spark, base, "vectors").select("id", vectors.encode_embedding(F.col("embedding")).alias("blob"))
+    return rows.select("id", F.octet_length("blob").alias("bytes"), F.posexplode(vectors.decode_embedding(F.col("blob"), 64)).alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+def page_embeddings(spark, base):
+    """The vector of each page's first chunk, of length 1, followed by the half of it: pages whose first chunk has one usable vector."""
+    chunks = read_table(spark, base, "chunks").where("page_id is not null and ord = 0").select("id", "page_id", "ord")
+    first = chunks.join(_searchable(spark, base, "chunks"), "id").distinct()
+    once = first.join(first.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1"), "page_id")
+    dense = vectors.dense_embedding(once, "page_id", "ord")
+    both = dense.select("page_id", F.posexplode(vectors.concatenated(F.col("embedding"), vectors.scale(F.col("embedding"), 0.5))).alias("pos", "value"))
+    return both.withColumn("value", F.round("value", 6))
+
+
 def _ranked_lists(spark, base):
     """Two ranked lists per tag: its pages by time of their last change, and by title."""
     pages = _current(spark, base).select("id", "slug", "title", "updated_at").join(read_table(spark, base, "tags").where("tag is not null").select(F.col("page_id").alias("id"), F.col("tag").alias("query_id")).distinct(), "id")
@@ -159,6 +175,8 @@ r AS (SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER
 
 _PAGES_TAGGED = f"""{_CUR}, g AS (SELECT page_id, string_agg(DISTINCT tag, ' ') AS tags FROM tags WHERE page_id IS NOT NULL AND tag IS NOT NULL GROUP BY page_id),
 p AS (SELECT slug, title, compiled_truth AS body, tags FROM live LEFT JOIN g ON page_id = id)"""
+_USABLE = """SELECT id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM {0}
+  WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id"""
 _TOP_STORED = """WITH u AS (SELECT id, CAST(any_value(CAST(embedding AS DOUBLE[])) AS DOUBLE[64]) AS e FROM {0}
   WHERE id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
 c AS (SELECT q.id AS query_id, u.id, round(array_cosine_similarity(q.e, u.e), 9) AS s FROM u JOIN u q ON CAST('0x' || substr(md5(q.id), 1, 8) AS BIGINT) % 100 = 0)
@@ -181,7 +199,7 @@ QUERIES = {
     "vector_topk_batch": vector_topk_batch, "vector_topk_after_delete": vector_topk_after_delete, "cosine_neighbours": cosine_neighbours,
     "rrf_fusion": rrf_fusion, "hybrid_search": _search(), "strategy_fulltext_only": _search(retrieval.FullText()), "strategy_vector_only": _search(retrieval.Vector()),
     "search_without_embedder": _search(with_vector=False), "bm25_search": bm25_search, "bm25_pages": bm25_pages,
-    "vector_topk_vectors": _store_topk("vectors"), "vector_topk_chunks": _store_topk("chunks"), "vector_last_wins": vector_last_wins, "postings": postings,
+    "vector_topk_vectors": _store_topk("vectors"), "vector_topk_chunks": _store_topk("chunks"), "vector_last_wins": vector_last_wins, "vector_blobs": vector_blobs, "page_embeddings": page_embeddings, "postings": postings,
     "sanitize_query": sanitize_query, "intent_classify": intent_classify, "page_snippets": page_snippets,
 }
 SQL = {
@@ -201,6 +219,10 @@ SELECT query_id, slug, round(score, 9) AS score, CAST(row_number() OVER (PARTITI
     "bm25_pages": f"WITH {_PAGES_TAGGED}, {_bm25_sql(BM25_PAGES, 'p', 'slug', ('title', 'body', 'tags'))} SELECT query_id, slug, score, rank, substring(body, 1, 200) AS snippet FROM r JOIN p ON slug = doc_id",
     "vector_topk_vectors": _TOP_STORED.format("vectors"),
     "vector_topk_chunks": _TOP_STORED.format("chunks"),
+    "vector_blobs": f"WITH u AS ({_USABLE.format('vectors')}) SELECT id, 4 * len(e) AS bytes, CAST(i AS INTEGER) AS pos, e[i + 1] AS value FROM (SELECT id, e, unnest(range(64)) AS i FROM u)",
+    "page_embeddings": f"""WITH u AS ({_USABLE.format('chunks')}), f AS (SELECT DISTINCT c.page_id, u.id, u.e FROM chunks c JOIN u USING (id) WHERE c.ord = 0 AND c.page_id IS NOT NULL),
+o AS (SELECT page_id, any_value(e) AS e FROM f GROUP BY page_id HAVING count(*) = 1), n AS (SELECT page_id, e, sqrt(list_sum(list_transform(e, lambda v: v * v))) AS n FROM o)
+SELECT page_id, CAST(i AS INTEGER) AS pos, round(CASE WHEN i < 64 THEN e[i + 1] ELSE e[i - 63] / 2 END / n, 6) AS value FROM (SELECT *, unnest(range(128)) AS i FROM n)""",
     "vector_last_wins": """SELECT page_id AS id, id AS chunk_id, CAST(len(embedding) AS INTEGER) AS dim FROM chunks WHERE page_id IS NOT NULL AND embedding IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY indexed_at DESC NULLS LAST, id DESC NULLS LAST) = 1""",
     "postings": " UNION ALL ".join(_postings_sql(f) for f in ("title", "text")),

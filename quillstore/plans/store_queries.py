@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstore.functions.text import fingerprint, trimmed, uuid_of, valid_slug
 from quillstore.operators import graph, store
-from quillstore.sources.tables import read_table
+from quillstore.sources.tables import read_table, shared_folder
 
 HOME, TAG, INSTANT, RULES_FROM = "index/home", "inbox", "2024-06-01 00:00:00", "2024-09-01 00:00:00"
 
@@ -37,6 +39,16 @@ def get_page(spark, base):
     return found.select("slug", "scope", "title", "compiled_truth", F.array_join("timeline", "|").alias("timeline"), "frontmatter")
 
 
+def put_documents(spark, base):
+    """The documents as puts of a log of their own, and the pages that are current in it."""
+    puts = read_table(spark, base, "documents").where("doc_id is not null")
+    puts = puts.select(F.concat(F.lit("docs/"), F.col("doc_id")).alias("slug"), F.col("text").alias("body"), "title", F.lit(None).cast("string").alias("scope"), F.lit("null").alias("frontmatter"), "added_at")
+    folder = f"{shared_folder(spark)}/quillstore-puts-{uuid.uuid4().hex}"
+    store.append(store.put_pages(puts, F.col("added_at")), folder, "pages")
+    pages = store.current_pages(read_table(spark, folder, "pages"))
+    return pages.select("slug", "scope", "title", F.length("compiled_truth").alias("n_chars"), F.size("timeline").alias("n_timeline"), "frontmatter")
+
+
 def page_scopes(spark, base):
     rows = read_table(spark, base, "pages").select("id", "scope").distinct()
     return rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n_pages"), F.first(F.coalesce(F.col("scope").isin(*store.SCOPES), F.lit(False))).alias("known"))
@@ -209,7 +221,7 @@ SELECT DISTINCT slug AS from_slug, t AS to_slug FROM x WHERE t <> slug AND NOT (
 
 QUERIES = {
     "current_pages": current_pages, "list_pages": list_pages, "list_pages_by_tag": list_pages_by_tag, "get_page": get_page,
-    "page_scopes": page_scopes, "slug_validation": slug_validation, "tag_counts": tag_counts, "frontmatter_owner": frontmatter_owner,
+    "put_documents": put_documents, "page_scopes": page_scopes, "slug_validation": slug_validation, "tag_counts": tag_counts, "frontmatter_owner": frontmatter_owner,
     "keyword_search": keyword("The paper"), "keyword_search_wildcard": keyword("the _aper"), "keyword_empty_query": keyword("!!!"), "keyword_matches": keyword_matches,
     "put_intervals": put_intervals, "links_as_of": links_as_of, "links_as_of_months": links_as_of_months,
     "backlinks_current": backlinks_current, "backlinks_all": backlinks_all, "extract_links": extract_links, "page_links": page_links,
@@ -225,6 +237,7 @@ SQL = {
     "list_pages": f"WITH {_CUR} SELECT slug, scope, title FROM live ORDER BY updated_at DESC, slug LIMIT 20",
     "list_pages_by_tag": f"WITH {_CUR} SELECT slug, scope, title FROM live WHERE id IN (SELECT page_id FROM tags WHERE tag = '{TAG}') ORDER BY updated_at DESC, slug LIMIT 20",
     "get_page": f"WITH {_CUR} SELECT slug, scope, title, compiled_truth, array_to_string(timeline, '|') AS timeline, frontmatter FROM live WHERE slug = '{HOME}'",
+    "put_documents": "SELECT DISTINCT 'docs/' || doc_id AS slug, 'concept' AS scope, title, CAST(length(text) AS INTEGER) AS n_chars, 0 AS n_timeline, CAST(NULL AS VARCHAR) AS frontmatter FROM documents WHERE doc_id IS NOT NULL",
     "page_scopes": "SELECT scope, count(*) AS n_pages, coalesce(scope IN ('project', 'concept', 'reference', 'person', 'plan'), false) AS known FROM (SELECT DISTINCT id, scope FROM pages) GROUP BY scope",
     "slug_validation": f"SELECT slug, {_VALID.format('slug')} AS valid FROM (SELECT slug FROM pages UNION SELECT to_slug FROM links) WHERE slug IS NOT NULL",
     "tag_counts": f"SELECT tag, count(*) AS n_pages FROM (SELECT DISTINCT page_id, lower({_TRIM.format('tag')}) AS tag FROM tags) WHERE tag IS NOT NULL GROUP BY tag",

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Intermediate tables of this session.
+_WRITTEN: list[str] = []
 #: The temporary folder of a local session without a shared one.
 _LOCAL: dict[str, str] = {}
 
@@ -27,9 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this session, once nothing that was read from them is needed any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in _WRITTEN:
+        place = hadoop(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.clear()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts the lineage and lets several consumers share the work."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillstore-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

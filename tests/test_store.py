@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstore import api
 from quillstore.operators import graph, indexing, retrieval, store
+from quillstore.sources import tables
 from quillstore.sources.markdown import read_markdown
 from quillstore.sources.tensors import TensorFileError, read_tensors
 from quillstore.streaming import logs
@@ -88,6 +89,25 @@ def test_rows_later_than_the_watermark_are_dropped(spark):
     assert last == {0: 1, 1: 2, 9: 2, 8: 1, 30: 2, 29: 1}
 
 
+def test_a_configured_store(spark, monkeypatch):
+    monkeypatch.delenv("QUILLSTORE_DIR", raising=False)
+    with pytest.raises(api.StoreError):
+        api.Store.configured(spark)
+    monkeypatch.setenv("QUILLSTORE_DIR", place := folder())
+    api.Store.configured(spark).put_page("a", "x")
+    assert api.Store(spark, place).get_page("a")["compiled_truth"] == "x"
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    df = tables.materialize(spark.range(3), "test")
+    path = Path(tables._WRITTEN[-1].removeprefix("file://"))
+    assert df.count() == 3 and path.exists()
+    kept, tables._WRITTEN[:] = tables._WRITTEN[:-1], tables._WRITTEN[-1:]
+    tables.clear_scratch(spark)
+    tables._WRITTEN[:] = kept
+    assert not path.exists()
+
+
 def test_current_pages(spark):
     rows = [("1", "a", 0), ("2", "a", 1), ("2", "a", 1), ("3", "b", 0), ("4", None, 0)]
     pages = spark.createDataFrame([(i, s, "concept", None, "x", None, None, None, T0 + timedelta(days=d), None) for i, s, d in rows], PAGES)
