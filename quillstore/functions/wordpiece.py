@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,9 @@ SPECIAL = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 #: Different words that a task remembers.
 REMEMBERED = 1 << 18
 #: White space that stays when a text is cleaned, and any.
-_BLANK, _SPACE = re.compile("[\t\n\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile(r"\s+")
+_BLANKS = "[\t\n\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANK, _SPACE = re.compile(f"{_BLANKS}+"), re.compile(r"\s+")
+_PART, _WORD = re.compile(_BLANKS.replace("[", "[^") + "+"), re.compile(r"\S+")
 
 
 class VocabularyError(ValueError):
@@ -100,9 +103,8 @@ class WordPiece:
             at += len(c.encode())
         return "".join(out), origin
 
-    def encode_with_offsets(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) of each piece, in bytes of the original text; (0, 0) for [CLS] and [SEP]."""
-        normal, origin = self.normalize_with_origin(text)
+    def _part_with_offsets(self, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        normal, origin = self.normalize_with_origin(part)
         found, at = [], 0
         for word in self.words(normal):
             at = normal.index(word, at)
@@ -111,7 +113,31 @@ class WordPiece:
             for i, size in zip(ids, sizes):
                 found.append((i, origin[at][0], origin[at + size - 1][1]))
                 at += size
-        return [(self.ids["[CLS]"], 0, 0), *found[: max(self.max_length - 2, 0)], (self.ids["[SEP]"], 0, 0)]
+        return tuple(np.array([f[c] for f in found], np.int32) for c in range(3))
+
+    def offsets(self, text: str, memory: dict[str, tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, begins, ends of the pieces, in bytes of the original text; (0, 0) for [CLS] and [SEP]. What stands between white space is encoded once and remembered."""
+        parts, begins, at, place = [], [], 0, 0
+        for m in (_PART if self.clean else _WORD).finditer(text):
+            part = m[0]
+            if part not in memory:
+                if len(memory) >= REMEMBERED:
+                    memory.clear()
+                memory[part] = self._part_with_offsets(part)
+            place += len(text[at : m.start()].encode())
+            parts.append(memory[part])
+            begins.append(place)
+            place += len(part.encode())
+            at = m.end()
+        shift = np.repeat(np.array(begins, np.int32), [len(p[0]) for p in parts])
+        ids, begin, end = (np.concatenate([np.empty(0, np.int32), *(p[c] for p in parts)])[: max(self.max_length - 2, 0)] for c in range(3))
+        shift = shift[: len(ids)]
+        edge = lambda x, first, last: np.concatenate([[first], x, [last]]).astype(np.int32)
+        return edge(ids, self.ids["[CLS]"], self.ids["[SEP]"]), edge(begin + shift, 0, 0), edge(end + shift, 0, 0)
+
+    def encode_with_offsets(self, text: str) -> list[tuple[int, int, int]]:
+        """(id, begin, end) of each piece, see `offsets`."""
+        return list(zip(*(c.tolist() for c in self.offsets(text, {}))))
 
     def encode(self, text: str, memory: dict[str, list[int]]) -> list[int]:
         """Ids between [CLS] and [SEP], cut to max_length. White space separates, so what stands between is encoded once and remembered."""
@@ -184,12 +210,13 @@ def located(df: DataFrame, row: str, text: str, model: WordPiece) -> DataFrame:
     """row, id, begin, end: a row for each piece of `encoding`, for texts of any length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory: dict[str, tuple[np.ndarray, ...]] = {}
         for batch in batches:
             for at, x in enumerate(batch.column(1)):
                 if x.is_valid:
-                    found = list(zip(*model.encode_with_offsets(x.as_py())))
-                    of = batch.column(0).take(pa.array([at] * len(found[0]), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([of, *(pa.array(c, pa.int32()) for c in found)], [row, "id", "begin", "end"])
+                    found = model.offsets(x.as_py(), memory)
+                    of = batch.column(0).take(pa.array(np.full(len(found[0]), at)))
+                    yield pa.RecordBatch.from_arrays([of, *map(pa.array, found)], [row, "id", "begin", "end"])
 
     kind = df.schema[row].dataType.simpleString()
     return df.select(row, text).mapInArrow(run, f"`{row}` {kind}, id int, begin int, end int")

@@ -28,6 +28,12 @@ def index_markdown(spark, base):
     return chunks.select("id", "page_id", "ord", F.hex("content_fp").alias("fp"), "simhash", F.size("embedding").alias("dim"))
 
 
+def index_chunks(spark, base):
+    """What SQL can check of index_markdown."""
+    chunks = indexing.index_markdown(_current(spark, base), "slug", "compiled_truth")
+    return chunks.select("id", "ord", F.md5("body").alias("digest"), F.lpad(F.bin("simhash"), 64, "0").alias("bits"), F.size("embedding").alias("dim"))
+
+
 def _bodies(spark, base):
     return read_table(spark, base, "chunks").dropDuplicates(["id"])
 
@@ -153,6 +159,16 @@ def wordpiece_offsets(spark, base):
     return wordpiece.located(read_table(spark, base, "documents"), "doc_id", "text", MODEL)
 
 
+def wordpiece_offset_ids(spark, base):
+    """The ids of the pieces in the order of their places, and how many places are empty or not inside the text."""
+    size = read_table(spark, base, "documents").where("text is not null").select("doc_id", F.octet_length("text").alias("size"))
+    special = F.col("id").isin(MODEL.ids["[CLS]"], MODEL.ids["[SEP]"])
+    rows = wordpiece_offsets(spark, base).withColumn("place", F.when(F.col("id") == MODEL.ids["[CLS]"], -1).when(F.col("id") == MODEL.ids["[SEP]"], 2**31 - 1).otherwise(F.col("begin")))
+    outside = ~special & ((F.col("begin") < 0) | (F.col("end") <= F.col("begin")) | (F.col("end") > F.col("size")))
+    each = rows.join(size, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "end", "id"))).alias("p"), F.sum(outside.cast("bigint")).alias("n_outside"))
+    return each.select("doc_id", F.transform("p", lambda x: x["id"]).alias("ids"), "n_outside")
+
+
 def attention(spark, base):
     """Attention within groups of eight vectors, the first six of which may be attended to."""
     rows = read_table(spark, base, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("row"), F.pmod("vec_id", F.lit(8)).alias("pos"), vectors.doubles(F.col("embedding")).alias("embedding"))
@@ -191,6 +207,22 @@ v AS (SELECT id, i, sum(2 * bit - 1) >= 0 AS bit FROM t JOIN s USING (w) GROUP B
 r AS (SELECT b.id, b.simhash, coalesce(string_agg(CASE WHEN v.bit THEN '1' ELSE '0' END, '' ORDER BY v.i DESC), repeat('1', 64)) AS bits FROM b LEFT JOIN v ON v.id = b.id GROUP BY ALL)"""
 
 
+def _pieces(text: str) -> str:
+    """The ids of a text's pieces under the vocabulary of characters, without [CLS] and [SEP]: an expression for DuckDB."""
+    first, later = "5 + unicode(w) - 33", "99 + CASE WHEN c <= '9' THEN unicode(c) - 48 WHEN c <= 'Z' THEN 10 + unicode(c) - 65 ELSE 36 + unicode(c) - 97 END"
+    word = f"CASE WHEN {_UNKNOWN} THEN [1] ELSE list_prepend({first}, list_transform(string_split(w[2:], ''), lambda c: {later})) END"
+    return f"flatten(list_transform({_words(text)}, lambda w: CASE WHEN length(w) = 1 AND NOT ({_UNKNOWN}) THEN [{first}] ELSE {word} END))"
+
+
+def _words(text: str) -> str:
+    clean = f"regexp_replace(regexp_replace({text}, '[\\t\\n\\r]', ' ', 'g'), '[\\x{{fffd}}\\pC]', '', 'g')"
+    spaced = f"regexp_replace({clean}, '([\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{20000}}-\\x{{2a6df}}\\x{{2a700}}-\\x{{2ceaf}}\\x{{2f800}}-\\x{{2fa1f}}])', ' \\1 ', 'g')"
+    return f"regexp_extract_all(lower(strip_accents({spaced})), '[!-/:-@\\[-`{{-~\\pP]|[^\\s\\pZ!-/:-@\\[-`{{-~\\pP]+')"
+
+
+_UNKNOWN = "length(w) > 100 OR NOT regexp_full_match(w, '[!-~]+')"
+
+
 def _cases(d: dict[str, str], prefix: str = "") -> str:
     return "CASE w " + " ".join(f"WHEN '{k}' THEN '{prefix}{v}'" for k, v in d.items()) + " END"
 
@@ -206,19 +238,34 @@ def _dialect(entities: dict[str, str]) -> str:
 
 _WORDS = "SELECT doc_id, list_transform(string_split(lower(title), ' '), lambda w: length(w)) AS x FROM documents WHERE title IS NOT NULL"
 QUERIES = {
-    "chunk_markdown": chunk_markdown, "atx_headings": atx_headings, "index_markdown": index_markdown,
+    "chunk_markdown": chunk_markdown, "atx_headings": atx_headings, "index_markdown": index_markdown, "index_chunks": index_chunks,
     "simhash64": simhash, "simhash_audit": simhash_audit, "simhash_near_dup": simhash_near_dup,
     "dialect_compress": dialect_compress, "compression_ratio": compression_ratio, "fake_embedding": fake_embedding,
     "normalize_text": normalize_text, "wordpiece_encode": wordpiece_encode, "wordpiece_truncated": wordpiece_truncated, "wordpiece_pair": wordpiece_pair, "wordpiece_decode": wordpiece_decode,
     **{f"vec_{n}": _elementwise(n) for n in ("l2_normalize", "softmax", "layer_norm", "relu", "gelu", "sigmoid", "tanh")},
     "vec_add_scale": vec_add_scale, "vec_mean_pool_by_label": vec_mean_pool_by_label, "matmul_gram": matmul_gram, "embedding_lookup": embedding_lookup,
-    "position_ids": position_ids, "pad_ids": pad_ids, "wordpiece_offsets": wordpiece_offsets, "attention": attention, "sinusoidal_positions": sinusoidal_positions, "viterbi_tags": viterbi_tags,
+    "position_ids": position_ids, "pad_ids": pad_ids, "wordpiece_offsets": wordpiece_offsets, "wordpiece_offset_ids": wordpiece_offset_ids, "attention": attention, "sinusoidal_positions": sinusoidal_positions, "viterbi_tags": viterbi_tags,
     "sparse_weights": sparse_weights, "late_interaction": late_interaction,
 }
 SQL = {
     "chunk_markdown": f"""WITH {_CUR}, s AS (SELECT slug, list_filter(list_transform({_SECTIONS}, lambda y: {_TRIMMED}), lambda y: y <> '') AS b FROM live WHERE compiled_truth IS NOT NULL)
 SELECT slug, CAST(i AS INTEGER) AS ord, b[i + 1] AS body FROM (SELECT slug, b, unnest(range(len(b))) AS i FROM s)""",
     "atx_headings": f"WITH {_CUR}, l AS (SELECT slug, unnest(string_split(compiled_truth, chr(10))) AS body FROM live) SELECT slug, count(*) AS headings FROM l WHERE regexp_matches(body, '^[ \\t]*#{{1,6}}[ \\t]') GROUP BY slug",
+    "wordpiece_encode": f"SELECT doc_id, list_append(list_prepend(2, {_pieces('text')}), 3) AS ids FROM documents WHERE text IS NOT NULL",
+    "wordpiece_truncated": f"""SELECT doc_id, CASE WHEN len(ids) > {TRUNCATED} THEN list_append(ids[1:{TRUNCATED - 1}], 3) ELSE ids END AS ids, CAST(greatest(len(ids) - {TRUNCATED}, 0) AS INTEGER) AS overflow
+FROM (SELECT doc_id, list_append(list_prepend(2, {_pieces('text')}), 3) AS ids FROM documents WHERE text IS NOT NULL)""",
+    "wordpiece_pair": f"""SELECT doc_id, flatten([[2], a, [3], b, [3]]) AS ids, list_concat(list_transform(range(len(a) + 2), lambda i: 0), list_transform(range(len(b) + 1), lambda i: 1)) AS type_ids
+FROM (SELECT doc_id, {_pieces('title')} AS a, {_pieces('text')} AS b FROM documents WHERE text IS NOT NULL AND title IS NOT NULL)""",
+    "wordpiece_offset_ids": f"SELECT doc_id, list_append(list_prepend(2, {_pieces('text')}), 3) AS ids, CAST(0 AS BIGINT) AS n_outside FROM documents WHERE text IS NOT NULL",
+    "wordpiece_decode": f"SELECT doc_id, array_to_string(list_transform({_words('text')}, lambda w: CASE WHEN {_UNKNOWN} THEN '[UNK]' ELSE w END), ' ') AS text FROM documents WHERE text IS NOT NULL",
+    "index_chunks": f"""WITH {_CUR}, c AS (SELECT slug, list_filter(list_transform({_SECTIONS}, lambda y: {_TRIMMED}), lambda y: y <> '') AS b FROM live WHERE compiled_truth IS NOT NULL),
+k AS (SELECT slug || '#' || i AS id, CAST(i AS INTEGER) AS ord, b[i + 1] AS body FROM (SELECT slug, b, unnest(range(len(b))) AS i FROM c)),
+t AS (SELECT id, unnest(list_filter(string_split_regex(body, '{_WHITE}'), lambda w: w <> '')) AS w FROM k),
+d AS (SELECT w, sha256(w) AS h FROM (SELECT DISTINCT w FROM t)),
+s AS (SELECT w, i, CAST((CAST('0x' || substr(h, 2 * (i // 8) + 1, 2) AS INTEGER) >> (i % 8)) & 1 AS INTEGER) AS bit FROM d, (SELECT unnest(range(64)) AS i)),
+v AS (SELECT id, i, sum(2 * bit - 1) >= 0 AS bit FROM t JOIN s USING (w) GROUP BY ALL),
+r AS (SELECT id, string_agg(CASE WHEN bit THEN '1' ELSE '0' END, '' ORDER BY i DESC) AS bits FROM v GROUP BY id)
+SELECT k.id, k.ord, md5(k.body) AS digest, r.bits, 16 AS dim FROM k JOIN r USING (id)""",
     "simhash64": f"WITH {_SIMHASH} SELECT id, bits FROM r",
     "simhash_audit": f"""WITH {_SIMHASH}, x AS (SELECT id, string_agg(CAST((simhash >> i) & 1 AS VARCHAR), '' ORDER BY i DESC) AS stored FROM (SELECT id, CAST(simhash AS HUGEINT) + CASE WHEN simhash < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END AS simhash FROM r WHERE simhash IS NOT NULL), (SELECT unnest(range(64)) AS i) GROUP BY id)
 SELECT CASE WHEN stored IS NULL THEN 'none' WHEN stored = bits THEN 'right' ELSE 'wrong' END AS state, count(*) AS n_chunks FROM r LEFT JOIN x USING (id) GROUP BY ALL""",
