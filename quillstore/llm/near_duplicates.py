@@ -27,10 +27,10 @@ from quillstore.sources.tables import materialize
 
 #: Lengths of lists that are sent to every task at most, and the length up to which a list may be unknown there.
 KNOWN, LONG = 1 << 22, 64
-#: Shingles that a task counts at once.
-COUNTED = 1 << 21
+#: Shingles that a task counts at once, and how many of them for each range at least.
+COUNTED, COUNTED_PER_RANGE = 1 << 21, 16
 #: Characters of text for each range of shingles, and how many ranges there may be. The frequencies of a range are added up in one task.
-RANGE_CHARS, MOST_RANGES = 1 << 22, 1 << 18
+RANGE_CHARS, MOST_RANGES = 1 << 22, 1 << 20
 #: Bits of a shingle's hash by which its frequency is counted; shingles that have these in common are counted as one.
 KEY_BITS = 48
 #: Meetings in short lists that are asked for; more need longer short lists, but leave fewer pairs to chance.
@@ -81,7 +81,7 @@ def _count(k: int, ranges: int):
         for batch in slices(batches, 0):
             parts.append(_keys(shingle_sets(batch.column(0).to_pylist(), k)[0]))
             size += len(parts[-1])
-            if size >= COUNTED:
+            if size >= max(COUNTED, COUNTED_PER_RANGE * ranges):
                 yield told(parts)
                 parts, size = [], 0
         if size:
