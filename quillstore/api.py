@@ -106,6 +106,7 @@ class Store:
         return [{"from_slug": r.from_slug, "edge_type": "mentions"} for r in found.orderBy("from_slug").collect()]
 
     def triples_add(self, subject: str, predicate: str, object: str, confidence: float = 1.0) -> dict[str, Any]:
+        """The id is the greatest so far and one more, so there may be one writer at a time."""
         log = self._table("triples")
         number = (log.agg(F.max("id")).first()[0] or 0) + 1
         row = self.spark.range(1).select(F.lit(number).alias("id"), F.lit(subject).alias("subject"), F.lit(predicate).alias("predicate"), F.lit(object).alias("object"), F.current_timestamp().alias("valid_from"), F.lit(None).alias("valid_to"), F.lit(float(confidence)).alias("confidence"), F.lit(None).alias("source_slug"), F.lit(None).alias("source_file"), F.current_timestamp().alias("extracted_at"))

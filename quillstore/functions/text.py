@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -13,22 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _BLANKS = r"[ \t\n\r\f]"
+# What a query and a slug may not hold, the two kinds of links, what begins a section, and the words that tell what a query is after.
+NOT_IN_QUERIES, SLUG = r"[^A-Za-z0-9_'\- ]+", r"[A-Za-z0-9_./-]+"
+WIKI_LINK, INLINE_LINK = r"\[\[([A-Za-z0-9_/.\-]+)\]\]", r"\[[^\]]*\]\(\.?/?([A-Za-z0-9_/\-]+?)(?:\.md)?\)"
+HEADING = r"[ \t]*#{1,6}[ \t]"
+INTENTS = {"tag": ("tag:",), "backlink": ("backlink", "links to"), "temporal": ("today", "yesterday", "timeline"), "relational": ("related", "depends on", "connects")}
 
 
-# The characters of queries and slugs, what marks a link, and the words that tell what a query is after.
 def sanitize(query: Column) -> Column:
     """Every run of characters outside A-Z a-z 0-9 _ ' - becomes one blank, without blanks at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(query, r"[^A-Za-z0-9_'\- ]+", " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(query, NOT_IN_QUERIES, " "), " +", " "))
 
 
 def valid_slug(slug: Column) -> Column:
     """Whether a slug is a non-empty run of ASCII letters, digits and - _ / . without / at its ends; null for null."""
-    return slug.rlike(r"\A[A-Za-z0-9_./-]+\z") & ~slug.startswith("/") & ~slug.endswith("/")
+    return slug.rlike(rf"\A{SLUG}\z") & ~slug.startswith("/") & ~slug.endswith("/")
 
 
 def is_slug(slug: str) -> bool:
     """`valid_slug` of one string on the driver."""
-    return re.fullmatch(r"[A-Za-z0-9_./-]+", slug) is not None and not slug.startswith("/") and not slug.endswith("/")
+    return re.fullmatch(SLUG, slug) is not None and not slug.startswith("/") and not slug.endswith("/")
 
 
 def trimmed(text: Column) -> Column:
@@ -43,34 +49,24 @@ def snippet(text: Column, size: int = 200) -> Column:
 def intent(query: Column) -> Column:
     """What a query is after, by fixed words in it; the first kind that applies."""
     q = F.translate(query, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-    def has(*words: str) -> Column:
-        found = F.lit(False)
-        for w in words:
-            found = found | q.contains(w)
-        return found
-
-    return (
-        F.when(query.isNull(), None)
-        .when(has("tag:") | q.startswith("#"), "tag")
-        .when(has("backlink", "links to"), "backlink")
-        .when(has("today", "yesterday", "timeline"), "temporal")
-        .when(has("related", "depends on", "connects"), "relational")
-        .otherwise("semantic")
-    )
+    found = F.when(query.isNull(), None)
+    for kind, words in INTENTS.items():
+        has = reduce(or_, (q.contains(w) for w in words))
+        found = found.when(has | q.startswith("#") if kind == "tag" else has, kind)
+    return found.otherwise("semantic")
 
 
 def links_in(body: Column, source_slug: Column) -> Column:
     """The slugs a markdown text refers to, sorted, each once: [[slug]], and [text](./slug.md) with or without ./ and .md; not the page itself, no web addresses."""
-    wiki = F.regexp_extract_all(body, F.lit(r"\[\[([A-Za-z0-9_/.\-]+)\]\]"), 1)
-    inline = F.regexp_extract_all(body, F.lit(r"\[[^\]]*\]\(\.?/?([A-Za-z0-9_/\-]+?)(?:\.md)?\)"), 1)
+    wiki = F.regexp_extract_all(body, F.lit(WIKI_LINK), 1)
+    inline = F.regexp_extract_all(body, F.lit(INLINE_LINK), 1)
     inline = F.filter(inline, lambda x: ~x.startswith("http"))
     return F.array_sort(F.array_distinct(F.filter(F.concat(wiki, inline), lambda x: x != source_slug)))
 
 
 def sections(markdown: Column) -> Column:
     """The sections of a markdown text: each heading of one to six # followed by a blank begins one; trimmed, without blank ones."""
-    parts = F.split(markdown, r"(?<![^\n])(?=[ \t]*#{1,6}[ \t])")
+    parts = F.split(markdown, rf"(?<![^\n])(?={HEADING})")
     return F.filter(F.transform(parts, trimmed), lambda x: x != "")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstore.functions.text import fingerprint, snippet
+from quillstore.functions.text import NOT_IN_QUERIES, fingerprint, snippet
 
 #: The scopes of pages, and the one of a put that names none.
 SCOPES = ("project", "concept", "reference", "person", "plan")
@@ -103,7 +103,7 @@ def keyword_search(pages: DataFrame, query: str, limit: int = 10, tombstones: Da
 
 def sanitize_text(query: str) -> str:
     """`sanitize` for one string on the driver."""
-    return re.sub(" +", " ", re.sub(r"[^A-Za-z0-9_'\- ]+", " ", query)).strip(" ")
+    return re.sub(" +", " ", re.sub(NOT_IN_QUERIES, " ", query)).strip(" ")
 
 
 def last_vectors(vectors: DataFrame, order: tuple[str, ...] = ("updated_at",)) -> DataFrame:
