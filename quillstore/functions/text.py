@@ -41,7 +41,11 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_BLANKS}+|{_BLANKS}+\z", "")
 
 
-def snippet(text: Column, size: int = 200) -> Column:
+#: Characters of a snippet.
+SNIPPET = 200
+
+
+def snippet(text: Column, size: int = SNIPPET) -> Column:
     """The first characters of a text, trimmed."""
     return trimmed(F.substring(text, 1, size))
 

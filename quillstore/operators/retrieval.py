@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstore.functions.text import snippet
+from quillstore.functions.text import SNIPPET, snippet
 from quillstore.operators.store import current_pages, keyword_search, last_vectors
 from quillstore.sources.tables import materialize
 
@@ -155,8 +155,8 @@ def search(pages: DataFrame, vectors: DataFrame, query: str, embedding: list[flo
                 add(by["vector"](embedding, limit))
     fused = reciprocal_rank_fusion(lists, fused_k).where(F.col("rank") <= limit).select("slug", "score", "rank")
     hits = F.broadcast(fused.select("slug"))  # at most `limit` rows
-    texts = current_pages(pages.select("id", "slug", "created_at", snippet(F.col("compiled_truth")).alias("snippet")).join(hits, "slug", "left_semi"), tombstones)
-    shown = fused.join(texts.select("slug", "snippet", F.lit(True).alias("there")), "slug", "left")
+    texts = current_pages(pages.select("id", "slug", "created_at", F.substring("compiled_truth", 1, SNIPPET).alias("head")).join(hits, "slug", "left_semi"), tombstones)
+    shown = fused.join(texts.select("slug", snippet(F.col("head")).alias("snippet"), F.lit(True).alias("there")), "slug", "left")
     if strict:
         shown = shown.withColumn("there", F.when(F.col("there"), True).otherwise(F.raise_error(F.concat(F.lit("no such page: "), "slug")).cast("boolean")))
     return shown.where("there").select("slug", "snippet", "score", "rank")

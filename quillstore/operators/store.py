@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstore.functions.text import NOT_IN_QUERIES, fingerprint, snippet
+from quillstore.functions.text import NOT_IN_QUERIES, SNIPPET, fingerprint, snippet
 
 #: The scopes of pages, and the one of a put that names none.
 SCOPES = ("project", "concept", "reference", "person", "plan")
@@ -94,11 +94,11 @@ def keyword_hit(query: str) -> Column:
 def keyword_search(pages: DataFrame, query: str, limit: int = 10, tombstones: DataFrame | None = None) -> DataFrame:
     """slug, snippet, rank of the newest current pages with a `keyword_hit`, from the log of puts.
 
-    Hit and snippet are told where the text is read, so that no text is shuffled to find the last put of a slug.
+    The hit is told, and the first characters are taken, where the text is read, so that no text is shuffled to find the last put of a slug.
     """
-    narrow = pages.select("id", "slug", "created_at", "updated_at", snippet(F.col("compiled_truth")).alias("snippet"), keyword_hit(query).alias("hit"))
+    narrow = pages.select("id", "slug", "created_at", "updated_at", F.substring("compiled_truth", 1, SNIPPET).alias("head"), keyword_hit(query).alias("hit"))
     top = current_pages(narrow, tombstones).where("hit").orderBy(F.desc("updated_at"), "slug").limit(limit)
-    return top.select("slug", "snippet", F.row_number().over(Window.orderBy(F.desc("updated_at"), "slug")).alias("rank"))
+    return top.select("slug", snippet(F.col("head")).alias("snippet"), F.row_number().over(Window.orderBy(F.desc("updated_at"), "slug")).alias("rank"))
 
 
 def sanitize_text(query: str) -> str:
