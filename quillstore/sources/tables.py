@@ -25,7 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = _LOCAL.setdefault(spark.conf.get("spark.app.id", ""), f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}")
+        session = spark.conf.get("spark.app.id", "")
+        if session not in _LOCAL:
+            _LOCAL[session] = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
+        folder = _LOCAL[session]
     return folder.rstrip("/")
 
 
