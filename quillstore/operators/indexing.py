@@ -38,7 +38,8 @@ def simhash_pairs(df: DataFrame, simhash: str, distance: int = 3) -> DataFrame:
 
     The 64 bits are cut into twice as many blocks as bits may differ; a pair agrees in at least half of them, so it meets under
     one of the choices of that many blocks, which are joined as one key. Equal values are one; their rows
-    are found by joining on the value.
+    are found by joining on the value. The join is told to sort and merge: Spark takes the keys of all choices to be no larger
+    than the values, and would broadcast them through the driver.
     """
     blocks = 2 * distance
     edges = [64 * i // blocks for i in range(blocks + 1)]
@@ -52,4 +53,4 @@ def simhash_pairs(df: DataFrame, simhash: str, distance: int = 3) -> DataFrame:
     keyed = values.select("h", F.inline(keys))
     a, b = keyed.withColumnRenamed("h", "hash_a"), keyed.withColumnRenamed("h", "hash_b")
     bits = F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-    return a.join(b, ["choice", "key"]).where("hash_a < hash_b").select("hash_a", "hash_b", bits.alias("bits")).where(F.col("bits") <= distance).distinct()
+    return a.join(b.hint("merge"), ["choice", "key"]).where("hash_a < hash_b").select("hash_a", "hash_b", bits.alias("bits")).where(F.col("bits") <= distance).distinct()

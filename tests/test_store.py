@@ -177,6 +177,13 @@ def test_simhash_pairs(spark):
     assert {(r.hash_a, r.hash_b) for r in got.collect()} == want
 
 
+def test_simhash_pairs_broadcast_nothing(spark):
+    got = indexing.simhash_pairs(spark.createDataFrame([(v,) for v in range(16)], "h bigint"), "h", 3)
+    assert {(r.hash_a, r.hash_b, r.bits) for r in got.collect()} == {(a, b, (a ^ b).bit_count()) for b in range(16) for a in range(b) if (a ^ b).bit_count() <= 3}
+    plan = got._jdf.queryExecution().executedPlan().toString()  # as AQE left it
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_markdown_source(spark):
     root = Path(folder())
     (root / "a" / "b").mkdir(parents=True)
